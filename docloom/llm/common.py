@@ -55,13 +55,19 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                yield as_batch(f(batch), target)
+        for batch in slices(it):
+            yield as_batch(f(batch), target)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows, so that Python copies of long texts stay small."""
+    for batch in it:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in target:

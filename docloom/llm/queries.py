@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import packing, tokenfile, tokens
-from docloom.llm.common import Stage
+from docloom.llm import html, packing, tokenfile, tokens, toxicity, vectors
+from docloom.llm.common import Stage, crc_column
 from docloom.session import table
 
 CAPACITY, VOCABULARY = 2048, 50_257
@@ -21,5 +21,26 @@ def op4_token_binary(spark, sf_dir):
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_token_binary)}
+def op5_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (crc_column(F.col("doc_id"), model.options.folds) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "matches",
+    )
+
+
+def op10_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_token_binary, op5_html_extraction, op6_toxicity, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}

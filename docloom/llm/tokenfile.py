@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import arrow_schema, as_batch, map_batches
+from docloom.llm.common import arrow_schema, as_batch, map_batches, slices
 from docloom.llm.tokens import encoder
 from docloom.session import ship_package
 
@@ -107,7 +107,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
             return row
 
         size = 0
-        for batch in it:
+        for batch in slices(it):
             d = batch.to_pydict()
             for doc, part, ids in zip(d["doc_id"], d["part"], encoder(tokenizer).encode(d["text"]), strict=True):  # noqa: B007
                 held[0].append(doc)
@@ -129,7 +129,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return blocks.join(parts, "part").withColumn("start", F.col("base") + F.col("first")).drop("base", "first")
+    # at most one row for each task of the write
+    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("base") + F.col("first")).drop("base", "first")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -11,12 +11,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 _ODD = re.compile(r" (?=\s|\Z)")
 _LOADED: dict[str, "Encoder"] = {}
-CACHE_UNITS = 600_000
+#: Units kept by a worker, in two generations: when the newer is full it becomes the older.
+CACHE_UNITS = 800_000
+#: Characters of text that are split at a time.
+CHUNK = 500_000
 
 
 class Encoder:
@@ -25,38 +29,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has one character for each byte
+        for token, k in vocab.items():
+            self.bytes_of[k] = len(token)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode units, each after a blank, as one text, and cut its ids where the units end."""
+        for k in range(0, len(units), 8192):
+            own = units[k : k + 8192]
+            text = " " + " ".join(own)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([1 + len(u.encode()) for u in own])
+            cuts = [0, *np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left").__add__(1).tolist()]
+            raw = ids.tobytes()
+            self.new.update(zip(own, [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > CACHE_UNITS // 2:
+            self.old, self.new = self.new, {}
+        split = [t.split(" ") for t in texts]
+        heads = self._whole([u[0] for u in split])
+        seen = set()
+        for u in split:
+            seen.update(u[1:])
+        seen = seen.difference(self.new)  # looks each unit up; difference_update would walk the cache
+        old = self.old
+        kept = {u: old[u] for u in seen if u in old}
+        self.new.update(kept)
+        self._learn([u for u in seen if u not in kept])
+        get = self.new.__getitem__
+        return [h + b"".join(map(get, u[1:])) for h, u in zip(heads, split, strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text the little-endian unsigned 32-bit ids; a null text has none."""
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        cache, units, whole, need = self.cache, [], [], set()
-        for t in texts:
+        out: list[bytes] = [b""] * len(texts)
+        held: list[int] = []
+        size = 0
+        for k, t in enumerate(texts):
             if not t:
-                units.append([])
-            elif not self.by_unit or any(s in t for s in self.special) or _ODD.search(t):
-                units.append(None)
-                whole.append(t)
-            else:
-                u = t.split(" ")
-                u[1:] = [" " + x for x in u[1:]]
-                units.append(u)
-                need.update(x for x in u if x not in cache)
-        todo = list(need)
-        cache.update(zip(todo, self._ids(todo), strict=True))
-        cache.setdefault("", b"")
-        done = iter(self._ids(whole))
-        return [next(done) if u is None else b"".join([cache[x] for x in u]) for u in units]
+                continue
+            if not self.by_unit or any(s in t for s in self.special) or _ODD.search(t):
+                out[k] = self._whole([t])[0]
+                continue
+            held.append(k)
+            size += len(t)
+            if size > CHUNK or k == len(texts) - 1:
+                for i, ids in zip(held, self._chunk([texts[i] for i in held]), strict=True):
+                    out[i] = ids
+                held, size = [], 0
+        if held:
+            for i, ids in zip(held, self._chunk([texts[i] for i in held]), strict=True):
+                out[i] = ids
+        return out
 
 
 def encoder(path: str) -> Encoder:
