@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import html, packing, tokenfile, tokens, toxicity, vectors
+from docloom.llm import html, neardup, packing, tokenfile, tokens, toxicity, vectors
 from docloom.llm.common import Stage, crc_column
 from docloom.session import table
 
@@ -15,6 +15,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), CAPACITY)
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op4_token_binary(spark, sf_dir):
     path = Stage(spark, "tokens").root
     tokenfile.write(table(spark, sf_dir, "documents"), path, tokens.default_path(), VOCABULARY)
@@ -42,5 +46,5 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_token_binary, op5_html_extraction, op6_toxicity, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_token_binary, op5_html_extraction, op6_toxicity, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
