@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import html, neardup, packing, tokenfile, tokens, toxicity, vectors
+from docloom.llm import decontam, html, neardup, packing, tokenfile, tokens, toxicity, vectors
 from docloom.llm.common import Stage, crc_column
 from docloom.session import table
 
@@ -42,9 +42,13 @@ def op6_toxicity(spark, sf_dir):
     )
 
 
+def op8_benchmark_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_token_binary, op5_html_extraction, op6_toxicity, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_token_binary, op5_html_extraction, op6_toxicity, op8_benchmark_decontamination, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
