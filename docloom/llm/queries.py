@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, html, neardup, packing, tokenfile, tokens, toxicity, vectors
+from docloom.llm import decontam, html, neardup, packing, suffix, tokenfile, tokens, toxicity, vectors
 from docloom.llm.common import Stage, crc_column
 from docloom.session import table
 
@@ -19,6 +19,17 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), 400, keep="none")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_token_binary(spark, sf_dir):
     path = Stage(spark, "tokens").root
     tokenfile.write(table(spark, sf_dir, "documents"), path, tokens.default_path(), VOCABULARY)
@@ -50,5 +61,5 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_token_binary, op5_html_extraction, op6_toxicity, op8_benchmark_decontamination, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_token_binary, op5_html_extraction, op6_toxicity, op8_benchmark_decontamination, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
