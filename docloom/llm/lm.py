@@ -1,10 +1,16 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-A text is a sequence of words (ASCII letters lower-cased, split at ASCII white space) and one end. The
-top restaurant's customers are the training tokens and its dishes are words, the end among them. Its
-new tables order from a spelling model: restaurants of byte contexts of up to `depth` bytes, where
-the parent of a context is the context without its first byte and the root's parent is uniform. So rare
-and unseen words get a probability from their spelling, and every level shares its parents.
+A text is a sequence of words (ASCII letters lower-cased, split at ASCII white space) and one end. Four
+levels of restaurants share parents:
+
+* a document's own restaurant, for what it has said so far, under a mixture of
+* class restaurants (a class is a hash of the language of training documents, one of `classes`),
+  weighted by how well each foretold the last `window` tokens of the text itself, under
+* one restaurant for the whole corpus, whose customers are the tables of the classes, under
+* a spelling model: restaurants of byte contexts of up to `depth` bytes within the word, where the
+  parent of a context is the context without its first byte and the root's parent is uniform.
+
+The language column only sorts training rows into classes; scores are made from texts alone.
 
 Seating (tables for each dish) is sampled by Gibbs sweeps, given the predictive probabilities of the
 parents as they stand; predictive probabilities are averaged over the last `samples` sweeps.
@@ -56,7 +62,7 @@ def unblob(data: bytes) -> list[bytes]:
     return out
 
 
-def chunks(docs: DataFrame, buckets: int, folds: int, held: int, chunk: int) -> DataFrame:
+def chunks(docs: DataFrame, buckets: int, folds: int, held: int, chunk: int, classes: int) -> DataFrame:
     """(chunk, bucket, data): bucket -1 holds the texts in local word numbers, others the local words."""
     ship_package(docs.sparkSession)
     schema = "chunk long, bucket int, data binary"
@@ -65,12 +71,13 @@ def chunks(docs: DataFrame, buckets: int, folds: int, held: int, chunk: int) ->
     def run(it):
         k, part = 0, 0
         ids: list = []
+        kinds: list[int] = []
         rows: list[list[int]] = []
         local: dict[bytes, int] = {}
         size = 0
 
         def close():
-            nonlocal k, ids, rows, local, size
+            nonlocal k, ids, kinds, rows, local, size
             out = {c: [] for c in target.names}
             words = list(local)
             bucket = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(buckets)
@@ -80,7 +87,8 @@ def chunks(docs: DataFrame, buckets: int, folds: int, held: int, chunk: int) ->
             flat = number[np.concatenate([np.array(r, np.int64) for r in rows])]
             lengths = np.array([len(r) for r in rows], np.int64)
             out_of = np.array([crc_mod(i, folds) == held for i in ids])
-            counts = np.bincount(flat[~np.repeat(out_of, lengths)], minlength=len(words)).astype("<i8")
+            pair = flat.astype(np.int64) * classes + np.repeat(np.array(kinds, np.int64), lengths)
+            pairs, counts = np.unique(pair[~np.repeat(out_of, lengths)], return_counts=True)
             name = (part << 24) + k
             nulls = np.array([i is None for i in ids], np.uint8)
             docs_ = blob([np.array([i or 0 for i in ids], "<i8").tobytes(), nulls.tobytes(), lengths.astype("<i8").tobytes(), flat.astype("<u4").tobytes()])
@@ -89,15 +97,16 @@ def chunks(docs: DataFrame, buckets: int, folds: int, held: int, chunk: int) ->
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 own = order[edges[b] : edges[b + 1]]
-                data = blob([b"\n".join([words[i] for i in own.tolist()]), counts[edges[b] : edges[b + 1]].tobytes()])
+                i, j = np.searchsorted(pairs, [edges[b] * classes, edges[b + 1] * classes])
+                data = blob([b"\n".join([words[w] for w in own.tolist()]), (pairs[i:j] - edges[b] * classes).astype("<i8").tobytes(), counts[i:j].astype("<i8").tobytes()])
                 for c, v in zip(out, (name, int(b), data), strict=True):
                     out[c].append(v)
-            k, ids, rows, local, size = k + 1, [], [], {}, 0
+            k, ids, kinds, rows, local, size = k + 1, [], [], [], {}, 0
             return as_batch(out, target)
 
         for batch in slices(it):
             d = batch.to_pydict()
-            for i, text, part in zip(d["doc_id"], d["text"], d["part"], strict=True):  # noqa: B007
+            for i, text, kind, part in zip(d["doc_id"], d["text"], d["kind"], d["part"], strict=True):  # noqa: B007
                 raw = (text or "").encode().lower()
                 words = raw.split()
                 words.append(b"")  # the end
@@ -105,45 +114,57 @@ def chunks(docs: DataFrame, buckets: int, folds: int, held: int, chunk: int) ->
                     local[w] = len(local)
                 rows.append(list(map(local.__getitem__, words)))
                 ids.append(i)
+                kinds.append(kind)
                 size += len(raw) + 8
                 if size > chunk:
                     yield close()
         if ids:
             yield close()
 
-    return docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, schema)
+    kind = F.coalesce(F.crc32(F.col("lang").cast("binary")) % classes, F.lit(0)) if "lang" in docs.columns else F.lit(0)
+    return docs.select("doc_id", "text", kind.cast("int").alias("kind"), F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, schema)
 
 
-def _grouped(it, name: str):
-    """Rows of adjacent equal keys; only one row is held at a time."""
+def _rows(it):
+    """Rows one by one, as dicts."""
     for batch in slices(it, 16):
         d = batch.to_pydict()
         for row in zip(*(d[c] for c in batch.schema.names), strict=True):
             yield dict(zip(batch.schema.names, row, strict=True))
-    _ = name
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """One row for each bucket: its distinct words with their counts over all chunks."""
-    schema = "bucket int, data binary, n long, v long, n1 long, n2 long"
+def dictionary(words: DataFrame, classes: int) -> DataFrame:
+    """One row for each bucket: its distinct words, and their counts in each class over all chunks."""
+    schema = "bucket int, data binary, n long, v long, n1 long, n2 long, by array<long>, kinds array<long>"
     target = arrow_schema(schema)
 
     def run(it):
-        now, total = None, {}
+        now, book, keys, sums = None, {}, [], []
 
         def close():
-            c = np.fromiter(total.values(), np.int64, len(total))
-            return as_batch({"bucket": [now], "data": [blob([b"\n".join(total), c.astype("<i8").tobytes()])], "n": [int(c.sum())], "v": [int((c > 0).sum())], "n1": [int((c == 1).sum())], "n2": [int((c == 2).sum())]}, target)
+            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(inverse, np.concatenate(sums), minlength=len(k)).astype("<i8")
+            row = {"bucket": [now], "data": [blob([b"\n".join(book), k.astype("<i8").tobytes(), c.tobytes()])], "n": [int(c.sum())], "v": [len(np.unique(k // classes))], "n1": [int((c == 1).sum())], "n2": [int((c == 2).sum())]}
+            row |= {"by": [np.bincount(k % classes, c, minlength=classes).astype(np.int64)], "kinds": [np.bincount(k % classes, minlength=classes)]}
+            return as_batch(row, target)
 
-        for row in _grouped(it, "bucket"):
+        for row in _rows(it):
             if row["bucket"] != now:
                 if now is not None:
                     yield close()
-                now, total = row["bucket"], {}
-            own, counts = unblob(row["data"])
-            get = total.get
-            for w, c in zip(own.split(b"\n"), np.frombuffer(counts, "<i8").tolist(), strict=True):
-                total[w] = get(w, 0) + c
+                now, book, keys, sums = row["bucket"], {}, [], []
+            own, pairs, counts = unblob(row["data"])
+            own = own.split(b"\n")
+            for w in own:
+                if w not in book:
+                    book[w] = len(book)
+            at = np.array(list(map(book.__getitem__, own)), np.int64)
+            pairs = np.frombuffer(pairs, "<i8")
+            keys.append(at[pairs // classes] * classes + pairs % classes)
+            sums.append(np.frombuffer(counts, "<i8").astype(np.float64))
+            if len(keys) >= 64:  # keep the working set near the size of the result
+                k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                keys, sums = [k], [np.bincount(inverse, np.concatenate(sums), minlength=len(k))]
         if now is not None:
             yield close()
 
@@ -270,15 +291,16 @@ def _find(keys: np.ndarray, x: np.ndarray):
     return i, keys[i] == x
 
 
-def spelling_counts(table: DataFrame, length: int) -> DataFrame:
+def spelling_counts(table: DataFrame, length: int, classes: int) -> DataFrame:
     """(gram, n) of the types that occur in training; each type stands for its first table."""
     target = arrow_schema("gram long, n long")
 
     def run(it):
-        for row in _grouped(it, "bucket"):
-            words, counts = unblob(row["data"])
-            seen = np.frombuffer(counts, "<i8") > 0
+        for row in _rows(it):
+            words, pairs, _ = unblob(row["data"])
             raw, bounds = spelled(words)
+            seen = np.zeros(len(bounds) - 1, bool)
+            seen[np.frombuffer(pairs, "<i8") // classes] = True
             g = grams_of(raw, bounds, length)[np.repeat(seen, np.diff(bounds))]
             u, n = np.unique(g, return_counts=True)
             yield as_batch({"gram": u.astype(np.int64), "n": n}, target)
@@ -286,17 +308,20 @@ def spelling_counts(table: DataFrame, length: int) -> DataFrame:
     return table.select("data").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, samples: int = 2, burn: int = 2, chunk: int = 8 << 20, most_grams: int = 4_000_000, buckets: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, samples: int = 2, burn: int = 2, classes: int = 16, window: int = 24, own_strength: float = 500.0, chunk: int = 8 << 20, most_grams: int = 4_000_000, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     stage = Stage(spark, "lm")
     buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = stage.write(chunks(docs, buckets, folds, held, chunk), "chunks")
+    first = stage.write(chunks(docs, buckets, folds, held, chunk, classes), "chunks")
     words = first.filter("bucket >= 0")
-    table = stage.write(dictionary(words), "dictionary")
-    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
+    table = stage.write(dictionary(words, classes), "dictionary")
+    names = ("n", "v", "n1", "n2")
+    per_class = [F.coalesce(F.sum(F.col(c)[z]), F.lit(0)).alias(f"{c}{z}_") for c in ("by", "kinds") for z in range(classes)]
+    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], *per_class).first()
     total, types = sums["n"], sums["v"]
-    grams = stage.write(spelling_counts(table, depth + 1), "grams")
+    n_z, k_z = (np.array([sums[f"{c}{z}_"] for z in range(classes)], np.float64) for c in ("by", "kinds"))
+    grams = stage.write(spelling_counts(table, depth + 1, classes), "grams")
     while depth > 0 and grams.count() > most_grams:
         depth -= 1
         grams = stage.write(grams.groupBy(F.col("gram").bitwiseAND((1 << (8 * (depth + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{depth}")
@@ -308,68 +333,117 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, sampl
     seated_target = arrow_schema(schema)
 
     def seat_words(it):
-        for row in _grouped(it, "bucket"):
-            own, counts = unblob(row["data"])
-            c = np.frombuffer(counts, "<i8")
+        for row in _rows(it):
+            own, pairs, counts = unblob(row["data"])
+            pairs, c = np.frombuffer(pairs, "<i8"), np.frombuffer(counts, "<i8")
             p = model.value.words(own)
+            w, z = pairs // classes, pairs % classes
             rng = np.random.default_rng(1000 + row["bucket"])
-            t = np.stack([seat(rng, c, (strength + d * types) * p, d) for _ in range(samples)])
-            data = blob([own, counts, p.astype("<f8").tobytes(), t.astype("<f4").tobytes()])
-            yield as_batch({"bucket": [row["bucket"]], "data": [data], "tables": [t.sum(axis=1).tolist()]}, seated_target)
+            guests = np.bincount(w, minlength=len(p))  # at first one table in each class that has the word
+            root = (np.maximum(guests - d * (guests > 0), 0) + (strength + d * types) * p) / (strength + k_z.sum())
+            leaf, top, totals = [], [], []
+            for _ in range(samples):
+                t = seat(rng, c, (strength + d * k_z[z]) * root[w], d)
+                guests = np.bincount(w, t, minlength=len(p))
+                up = seat(rng, guests, (strength + d * types) * p, d)
+                leaf.append(t)
+                top.append(guests - d * up)
+                totals += [guests.sum(), up.sum(), *np.bincount(z, t, minlength=classes)]
+            parts = [own, pairs.tobytes(), counts, p.astype("<f8"), np.array(leaf, "<f4"), np.array(top, "<f4")]
+            yield as_batch({"bucket": [row["bucket"]], "data": [blob([x if isinstance(x, bytes) else x.tobytes() for x in parts])], "tables": [totals]}, seated_target)
 
     seated = stage.write(table.select("bucket", "data").mapInArrow(seat_words, schema), "seated")
     stage.drop("dictionary", "grams")
-    all_tables = seated.agg(*[F.coalesce(F.sum(F.col("tables")[s]), F.lit(0.0)).alias(f"t{s}") for s in range(samples)]).first()
-    tables = [all_tables[f"t{s}"] for s in range(samples)]
+    size = 2 + classes
+    summed = seated.agg(*[F.coalesce(F.sum(F.col("tables")[s]), F.lit(0.0)).alias(f"t{s}") for s in range(samples * size)]).first()
+    tables = np.array(list(summed), np.float64).reshape(samples, size)
+    share = np.mean([(strength + d * tables[s, 2:]) / (strength + n_z) for s in range(samples)], axis=0)
+    used = np.flatnonzero(n_z) if n_z.any() else np.array([0])
     answer_target = arrow_schema("chunk long, bucket int, data binary")
 
     def answer(it):
-        now, book, value, count = None, {}, None, None
-        for row in _grouped(it, "bucket"):
+        now, book, root, count, extra, begin, z = None, {}, None, None, None, None, None
+        for row in _rows(it):
             own = unblob(row["data"])
             if row["chunk"] is None:  # the bucket's dictionary comes first
                 now = row["bucket"]
                 book = {w: i for i, w in enumerate(own[0].split(b"\n"))}
-                count, p = np.frombuffer(own[1], "<i8"), np.frombuffer(own[2], "<f8")
-                t = np.frombuffer(own[3], "<f4").reshape(samples, -1)
-                value = np.mean([(np.maximum(count - d * t[s], 0) + (strength + d * tables[s]) * p) / (strength + total) for s in range(samples)], axis=0)
-                value = np.log10(np.maximum(value, 1e-300)).astype("<f4")
+                pairs, c, p = np.frombuffer(own[1], "<i8"), np.frombuffer(own[2], "<i8"), np.frombuffer(own[3], "<f8")
+                leaf, top = (np.frombuffer(own[k], "<f4").reshape(samples, -1).astype(np.float64) for k in (4, 5))
+                w, z = pairs // classes, pairs % classes
+                count = np.bincount(w, c, minlength=len(p)).astype(np.int64)
+                root = np.mean([(np.maximum(top[s], 0) + (strength + d * tables[s, 1]) * p) / (strength + tables[s, 0]) for s in range(samples)], axis=0).astype("<f4")
+                extra = (np.mean([np.maximum(c - d * t, 0) for t in leaf], axis=0) / (strength + n_z[z])).astype("<f4")
+                begin = np.searchsorted(w, np.arange(len(p) + 1))
                 continue
             assert row["bucket"] == now
             at = np.array(list(map(book.__getitem__, own[0].split(b"\n"))), np.int64)
-            yield as_batch({"chunk": [row["chunk"]], "bucket": [now], "data": [blob([value[at].tobytes(), count[at].astype("<i8").tobytes()])]}, answer_target)
+            n = begin[at + 1] - begin[at]
+            take = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            parts = [root[at], count[at], n.astype("<u1"), z[take].astype("<u1"), extra[take]]
+            yield as_batch({"chunk": [row["chunk"]], "bucket": [now], "data": [blob([x.tobytes() for x in parts])]}, answer_target)
 
     asked = seated.select(F.lit(None).cast("long").alias("chunk"), "bucket", "data").unionByName(words.select("chunk", "bucket", "data"))
     answers = asked.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(answer, "chunk long, bucket int, data binary")
-    texts = first.filter("bucket < 0").select("chunk", F.lit(2147483647).alias("bucket"), "data")
+    last = 2147483647
+    texts = first.filter("bucket < 0").select("chunk", F.lit(last).alias("bucket"), "data")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out_target = arrow_schema(schema)
 
     def add_up(it):
-        values, counts = [], []
-        for row in _grouped(it, "chunk"):
+        held_back: list = []
+        for row in _rows(it):
             own = unblob(row["data"])
-            if row["bucket"] != 2147483647:
-                values.append(np.frombuffer(own[0], "<f4"))
-                counts.append(np.frombuffer(own[1], "<i8"))
+            if row["bucket"] != last:
+                held_back.append(own)
                 continue
-            value, count = np.concatenate(values).astype(np.float64), np.concatenate(counts)
-            values, counts = [], []
+            joined = [np.concatenate([np.frombuffer(x[k], kind) for x in held_back]) for k, kind in enumerate(("<f4", "<i8", "<u1", "<u1", "<f4"))]
+            held_back = []
+            root, count, n, z, extra = joined
+            by_class = root[:, None].astype(np.float64) * share[used]
+            column = np.full(classes, 0)
+            column[used] = np.arange(len(used))
+            by_class[np.repeat(np.arange(len(n)), n), column[z]] += extra
+            by_class = np.maximum(by_class, 1e-300)
             ids, nulls, lengths, flat = np.frombuffer(own[0], "<i8"), own[1], np.frombuffer(own[2], "<i8"), np.frombuffer(own[3], "<u4")
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            names = [None if x else int(i) for i, x in zip(ids, nulls, strict=True)]
             base = np.log10((count + 1) / (total + types + 1))
-            at = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-            names = [None if z else int(i) for i, z in zip(ids, nulls, strict=True)]
+            prior = np.log(np.maximum(n_z[used], 1) / np.maximum(n_z[used], 1).sum())
+            got = [text_score(by_class, flat[a:b], prior, window, own_strength) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield as_batch(
                 {
                     "doc_id": names,
                     "held_out": [crc_mod(i, folds) == held for i in names],
                     "n_tokens": lengths,
-                    "n_known": np.add.reduceat((count > 0)[flat].astype(np.int64), at),
+                    "n_known": np.add.reduceat((count > 0)[flat].astype(np.int64), bounds[:-1]),
                     "train_tokens": np.full(len(ids), total, np.int64),
-                    "base_score": np.add.reduceat(base[flat], at),
-                    "score": np.add.reduceat(value[flat], at),
+                    "base_score": np.add.reduceat(base[flat], bounds[:-1]),
+                    "score": got,
                 },
                 out_target,
             )
 
     return answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(add_up, schema)
+
+
+def text_score(by_class: np.ndarray, words: np.ndarray, prior: np.ndarray, window: int, own_strength: float) -> float:
+    """log10 probability of a text: its own restaurant over classes weighted by the tokens just read."""
+    n, out, past = len(words), 0.0, np.zeros((1, by_class.shape[1]))
+    seen = np.empty(n, np.int64)  # earlier uses in this text
+    order = np.argsort(words, kind="stable")
+    w = words[order]
+    place = np.arange(n)
+    seen[order] = place - np.maximum.accumulate(np.where(np.concatenate([[True], w[1:] != w[:-1]]), place, 0))
+    for lo in range(0, n, 65_536):  # long texts in pieces, to bound memory; the window carries over
+        p = by_class[words[lo : lo + 65_536]]
+        sums = np.concatenate([past, past[-1] + np.cumsum(np.log(p), axis=0)])
+        ahead = len(past) - 1
+        at = np.arange(len(p)) + ahead
+        weight = sums[at] - sums[np.maximum(at - window, 0)] + prior
+        weight = np.exp(weight - weight.max(axis=1)[:, None])
+        mixed = (weight * p).sum(axis=1) / weight.sum(axis=1)
+        i = lo + np.arange(len(p))
+        out += float(np.log10((seen[lo : lo + len(p)] + own_strength * mixed) / (own_strength + i)).sum())
+        past = sums[-window - 1 :] - sums[-1]
+    return out
