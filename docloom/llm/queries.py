@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, html, lm, neardup, packing, suffix, tokenfile, tokens, toxicity, vectors
+from docloom.llm import decontam, html, langid, lm, neardup, packing, suffix, tokenfile, tokens, toxicity, vectors
 from docloom.llm.common import Stage, crc_column
 from docloom.session import table
 
@@ -53,6 +53,10 @@ def op6_toxicity(spark, sf_dir):
     )
 
 
+def op7_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,5 +69,5 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_token_binary, op5_html_extraction, op6_toxicity, op8_benchmark_decontamination, op9_lm_scoring, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_token_binary, op5_html_extraction, op6_toxicity, op7_language_id, op8_benchmark_decontamination, op9_lm_scoring, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
