@@ -107,7 +107,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         same = np.array([fingerprint(s)[0] for s in sets], np.int64) == batch.column("f1").to_numpy(zero_copy_only=False)
         return {c: batch.column(c) for c in ("rep", "gid", "kind", "cuts")} | {"words": [s.tobytes() if ok else None for s, ok in zip(sets, same, strict=True)]}
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(work.select("rep", "f1", "gid", "kind", "cuts"), "rep")
+    # always a shuffle: the list of members grows with the documents
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(work.select("rep", "f1", "gid", "kind", "cuts"), "rep")
     sets = map_batches(texts.select("rep", "f1", "gid", "kind", "cuts", "text"), attach, "rep long, gid long, kind int, cuts int, words binary").filter("words is not null")
     own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cuts")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
