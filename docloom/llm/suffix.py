@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, length: int, keep: str, crowd: int, stage: S
 
     schema = "h long, doc_id long, t long, lo int, hi int, at int, origin int, body binary"
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["t"] == wanted["t"])
-    texts = docs.join(wanted, same).select(docs["doc_id"], docs["t"], "text", "cuts").dropDuplicates(["doc_id", "t"])
+    texts = docs.hint("merge").join(wanted, same).select(docs["doc_id"], docs["t"], "text", "cuts").dropDuplicates(["doc_id", "t"])
     open_ = stage.write(map_batches(texts, cut_out, schema), "open-0")
     k = 0
     while True:
@@ -328,8 +328,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", crowd: int = 256) -> DataFrame:
-    """doc_id, t (hash of the text), n_bytes, spans (start and stop of removed runs) and kept (binary)."""
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", crowd: int = 256, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (start and stop of removed runs) and kept (binary) of each row of docs.
+
+    With `extra`, a list of columns, also these, text, and left: the kept text, broken characters gone.
+    """
     spark = docs.sparkSession
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
@@ -337,17 +340,39 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", crow
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
     spans = repeated_spans(rows, length, keep, crowd, stage)
     by_doc = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("found"))  # of one text
-    joined = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["doc_id"]) & (rows["t"] == by_doc["t"]), "left").select(rows["doc_id"], rows["t"], "text", "found")
+    # extra columns travel as one struct, whatever their names
+    rest = F.struct(*[docs[c] for c in extra]).alias("rest") if extra else F.lit(None).cast("int").alias("rest")
+    wide = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", rest)
+    joined = wide.hint("merge").join(by_doc, wide["doc_id"].eqNullSafe(by_doc["doc_id"]) & (wide["t"] == by_doc["t"]), "left").select(wide["doc_id"], "text", "found", "rest")
+    names = ["doc_id"] if extra is None else ["doc_id", "text", "rest"]
 
     def run(batch):
-        out = {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_bytes": [], "spans": [], "kept": []}
+        out = {c: batch.column(c) for c in names} | {"n_bytes": [], "spans": [], "kept": [], "left": []}
         for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
             raw = (text or "").encode()
             cut = merged([(f["start"], f["stop"]) for f in found or ()])
             edges = [0, *[x for s in cut for x in s], len(raw)]
             out["n_bytes"].append(len(raw))
             out["spans"].append([{"start": a, "stop": b} for a, b in cut])
-            out["kept"].append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            out["kept"].append(b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+            out["left"].append(b"".join([raw[a:b].decode(errors="ignore").encode() for a, b in zip(edges[::2], edges[1::2], strict=True)]).decode() if extra is not None else None)
         return out
 
-    return map_batches(joined, run, "doc_id long, t long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
+    fields = "n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
+    if extra is None:
+        return map_batches(joined, run, f"doc_id long, {fields}")
+    kind = joined.schema["rest"].dataType.simpleString()
+    return map_batches(joined, run, f"doc_id long, text string, rest {kind}, {fields}, left string").select("doc_id", "text", *[F.col(f"rest.`{c}`").alias(c) for c in extra], "n_bytes", "spans", "kept", "left")
+
+
+def cut_repeats(docs: DataFrame, length: int = 400, crowd: int = 256) -> DataFrame:
+    """The rows of docs, all columns kept, without later copies of repeated passages.
+
+    A character of which any byte goes is gone. Rows of which no visible character is left go too, unless
+    they had none before; n_chars, where there is one, becomes the characters that are left.
+    """
+    out = remove_repeats(docs, length, "first", crowd, extra=[c for c in docs.columns if c not in ("doc_id", "text")])
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("left"))
+    out = out.withColumn("new", text).filter((F.size("spans") == 0) | (F.trim(F.regexp_replace("new", r"\s+", " ")) != ""))
+    made = {"text": F.col("new"), "n_chars": F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in docs.columns])
