@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from docloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,15 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "A7_dashboard_metrics",
-    """SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS completed,
-    count(*) FILTER (o_orderstatus = 'O') AS pending FROM orders""",
-)
-def a7(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("o_orderstatus") == "F").alias("completed"),
-        F.count_if(F.col("o_orderstatus") == "O").alias("pending"),
-    )
+from docloom.plans import relational, texts  # noqa: E402, F401
