@@ -1 +1,298 @@
-"""Text queries."""
+"""Queries of text, search, classification, extraction and layout."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docloom.functions import text as T
+from docloom.operators import classify as C
+from docloom.operators import extract as X
+from docloom.operators import layout as L
+from docloom.operators import search as S
+from docloom.plans.bindings import BOX_SQL, boxes
+from docloom.plans.catalog import query
+from docloom.session import table
+
+TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+B = "WITH " + BOX_SQL + " "
+CENTRE = "x + w / 2 AS cx, y + h / 2 AS cy, w * h AS area"
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+# --- search --------------------------------------------------------------------------------------
+@query(
+    "B1_postings",
+    f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS lexeme, generate_subscripts({TOKENS}, 1) AS pos FROM documents)
+    SELECT doc_id, lexeme, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM t GROUP BY ALL""",
+)
+def b1(spark, sf_dir):
+    p = S.postings(documents(spark, sf_dir), "doc_id", "text")
+    return p.select("doc_id", "lexeme", F.size("positions").cast("long").alias("n"), F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
+
+
+MATCH = f"list_contains({TOKENS}, 'the') AND list_contains({TOKENS}, 'and')"
+
+
+@query("B2_search", f"SELECT doc_id, CAST(len(list_filter({TOKENS}, lambda w: w = 'the' OR w = 'and')) AS BIGINT) AS rank FROM documents WHERE {MATCH} ORDER BY rank DESC, doc_id LIMIT 20")
+def b2(spark, sf_dir):
+    return S.search(documents(spark, sf_dir), "The and", "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("B2_search_total", f"SELECT count(*) AS total FROM documents WHERE {MATCH}")
+def b2_total(spark, sf_dir):
+    return S.search(documents(spark, sf_dir), "The and", "doc_id", "text", total=True)
+
+
+@query("B2a_rank_single", f"SELECT doc_id, round(0.1 * list_sum(list_transform(range(1, len(list_filter({TOKENS}, lambda w: w = 'the')) + 1), lambda j: 1.0 / (j * j))) / 1.64493406685, 9) AS rank FROM documents WHERE list_contains({TOKENS}, 'the')")
+def b2a(spark, sf_dir):
+    t = T.tokens(F.col("text"))
+    n = F.size(F.filter(t, lambda w: w == "the"))
+    total = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))
+    return documents(spark, sf_dir).select("doc_id", n.alias("n")).filter("n > 0").select("doc_id", F.round(0.1 * total / 1.64493406685, 9).alias("rank"))
+
+
+@query("B3_json_search", "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') ILIKE '%7%' ORDER BY ts DESC, event_id LIMIT 50")
+def b3(spark, sf_dir):
+    return S.json_like(table(spark, sf_dir, "events"), "props", "k", "7").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "props")
+
+
+@query("B3_json_range", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS amount FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 10 AND 20 ORDER BY amount DESC, event_id LIMIT 50")
+def b3_range(spark, sf_dir):
+    rows = S.json_range(table(spark, sf_dir, "events"), "props", "k", 10, 20)
+    return rows.select("event_id", F.col("amount").cast("double").alias("amount")).orderBy(F.desc("amount"), "event_id").limit(50)
+
+
+@query(
+    "B4_suggestions",
+    """WITH w AS (SELECT lower(trim(unnest(string_split(text, ' ')), '.,!?;:"''()[]{}')) AS word FROM documents)
+    SELECT DISTINCT word FROM w WHERE length(word) >= 3 AND starts_with(word, 'th') ORDER BY word LIMIT 50""",
+)
+def b4(spark, sf_dir):
+    return S.suggestions(documents(spark, sf_dir), "text", "Th", 50)
+
+
+# --- text primitives -----------------------------------------------------------------------------
+@query("T_sound_codes", None)
+def t_sound(spark, sf_dir):
+    w = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("w")).distinct()
+    return w.select("w", T.sound_code(F.col("w")).alias("code"))
+
+
+@query("T_edit_ratio", "SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)) AS rate FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id WHERE length(a.text) = strlen(a.text) AND length(b.text) = strlen(b.text)")
+def t_ratio(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").filter("length(text) = octet_length(text)")
+    pairs = b.alias("a").join(b.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id"))
+    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), (F.levenshtein("a.text", "b.text") / F.greatest(F.length("a.text"), F.length("b.text"))).alias("rate"))
+
+
+@query("A19_character_errors", "SELECT item_id, levenshtein(text, replace(text, 'th', 'tn')) * 1.0 / length(text) AS cer, levenshtein(text, replace(text, 'th', 'tn')) * 1.0 / length(text) < 0.05 AS passed FROM benchmark")
+def a19(spark, sf_dir):
+    cer = T.character_error_rate(F.col("text"), F.replace(F.col("text"), F.lit("th"), F.lit("tn")))
+    return table(spark, sf_dir, "benchmark").select("item_id", cer.alias("cer"), (cer < 0.05).alias("passed"))
+
+
+# --- classifier ----------------------------------------------------------------------------------
+@query("C5_term_frequency", f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) SELECT doc_id, w, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY doc_id), 9) AS tf FROM t GROUP BY doc_id, w")
+def c5(spark, sf_dir):
+    from pyspark.sql import Window
+
+    counts = documents(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    return counts.withColumn("tf", F.round(F.col("n") * 1.0 / F.sum("n").over(Window.partitionBy("doc_id")), 9))
+
+
+FORM = """concat(CASE o_orderkey % 7 WHEN 0 THEN 'Invoice No: INV-' WHEN 1 THEN 'Receipt. Thank you. Transaction id ' WHEN 2 THEN 'Patient name: x. Diagnosis, prescription ' WHEN 3 THEN 'Whereas the party hereby ' WHEN 4 THEN 'Account statement balance ' WHEN 5 THEN 'Member ID: U8908482 RxBIN: 0178 ' ELSE 'Dear Sir, sincerely ' END,
+ CAST(o_orderkey AS STRING), ' Date: 2024-01-15 Total: $1,', CAST(100 + o_custkey % 900 AS STRING), '.', CAST(10 + o_orderkey % 90 AS STRING))"""
+
+
+def forms(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", FORM.strip() + " AS text")
+
+
+def _strong_sql() -> str:
+    def one(k: str) -> str:
+        squeezed = k.replace(" ", "")
+        return f"CASE WHEN contains(t, '{k}') THEN 3.0 WHEN contains(replace(t, ' ', ''), '{squeezed}') THEN 2.5 ELSE 0 END"
+
+    return ", ".join(f"CAST({' + '.join(one(k) for k in ks)} AS DOUBLE) AS {t}" for t, ks in C.STRONG.items())
+
+
+@query("C2_strong_indicators", f"WITH f AS (SELECT o_orderkey AS id, lower({FORM}) AS t FROM orders) SELECT id, {_strong_sql()} FROM f")
+def c2(spark, sf_dir):
+    return forms(spark, sf_dir).select("id", *[C.strong_score(F.lower("text"), t, fuzzy=False).alias(t) for t in C.STRONG])
+
+
+@query(
+    "C8_regex_score",
+    f"WITH f AS (SELECT o_orderkey AS id, {FORM} AS t FROM orders) SELECT id, "
+    + ", ".join("CAST(least(10.0, " + " + ".join(f"CASE WHEN len(regexp_extract_all(t, '(?i){p}')) > 0 THEN 3.0 + 0.5 * len(regexp_extract_all(t, '(?i){p}')) ELSE 0 END" for p in ps) + f") AS DOUBLE) AS {t}" for t, ps in C.REGEXES.items())
+    + " FROM f",
+)
+def c8(spark, sf_dir):
+    return forms(spark, sf_dir).select("id", *[C.regex_score(F.col("text"), t).alias(t) for t in C.REGEXES])
+
+
+@query("C9_position", f"WITH f AS (SELECT o_orderkey AS id, lower({FORM}) AS t FROM orders) SELECT id, " + ", ".join("CAST(" + " + ".join(f"CASE WHEN contains(substr(t, 1, length(t) // 5), '{k}') THEN 0.5 ELSE 0 END" for k in ks) + f" AS DOUBLE) AS {t}" for t, ks in C.KEYWORDS.items()) + " FROM f")
+def c9(spark, sf_dir):
+    return forms(spark, sf_dir).select("id", *[C.position_score(F.lower("text"), t).alias(t) for t in C.KEYWORDS])
+
+
+@query("C12_calibration", "SELECT event_id, round(CASE WHEN value / 10 > 8 THEN 1.0 ELSE 1 / (1 + exp(-10 * (0.5 * 0.4 + 0.5 * least(value / 10 / 6, 1) - 0.5))) END, 9) AS confidence FROM events WHERE value IS NOT NULL")
+def c12(spark, sf_dir):
+    best = F.col("value") / 10
+    return table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.round(C.calibrated(best, best / 0.4), 9).alias("confidence"))
+
+
+@query("C_classify_forms")
+def c_forms(spark, sf_dir):
+    return C.classify(forms(spark, sf_dir), "id", "text")
+
+
+@query("C_classify_documents")
+def c_documents(spark, sf_dir):
+    return C.classify(documents(spark, sf_dir), "doc_id", "text")
+
+
+# --- extraction ----------------------------------------------------------------------------------
+def _first(p: str, g: int = 1) -> str:
+    return f"nullif(regexp_extract(t, '{p}', {g}), '')"
+
+
+@query(
+    "D4_invoice_fields",
+    f"""WITH f AS (SELECT o_orderkey AS id, {FORM} AS t FROM orders)
+    SELECT id, {_first(X.INVOICE['invoice_number'])} AS invoice_number, {_first(X.INVOICE['invoice_date'])} AS invoice_date,
+    TRY_CAST(replace({_first(X.INVOICE['total_amount'])}, ',', '') AS DOUBLE) AS total_amount FROM f""",
+)
+def d4(spark, sf_dir):
+    f = X.invoice_fields(F.col("text"))
+    return forms(spark, sf_dir).select("id", *[f[c].alias(c) for c in X.INVOICE])
+
+
+def _identity_sql(field: str) -> str:
+    import re
+
+    patterns, shape = X.IDENTITY[field]
+    parts = lambda p: " || ".join(_first(p, int(s)) if k % 2 else f"'{s}'" for k, s in enumerate(re.split(r"\{(\d)\}", shape)) if k % 2 or s)
+    return f"regexp_replace(coalesce({', '.join(parts(p) for p in patterns)}), '^\\s+|\\s+$', '', 'g') AS {field}"
+
+
+@query("D5_identity_fields", f"WITH f AS (SELECT o_orderkey AS id, concat({FORM}, ' PCP Visit $20/$40 Rx $10/30/60 Aetna PPO INN DED Ind/Fam $500/1000 In 80%/20%') AS t FROM orders) SELECT id, {', '.join(_identity_sql(k) for k in X.IDENTITY)} FROM f")
+def d5(spark, sf_dir):
+    t = F.concat("text", F.lit(" PCP Visit $20/$40 Rx $10/30/60 Aetna PPO INN DED Ind/Fam $500/1000 In 80%/20%"))
+    f = X.identity_fields(t)
+    return forms(spark, sf_dir).select("id", *[f[c].alias(c) for c in X.IDENTITY])
+
+
+@query("D9_fill_rate", f"WITH f AS (SELECT o_orderkey AS id, {FORM} AS t FROM orders) SELECT id, round(({' + '.join(f'CASE WHEN {_first(p)} IS NULL THEN 0 ELSE 1 END' for p in X.INVOICE.values())}) / 12.0, 9) AS confidence FROM f")
+def d9(spark, sf_dir):
+    return forms(spark, sf_dir).select("id", F.round(X.fill_rate(list(X.invoice_fields(F.col("text")).values())), 9).alias("confidence"))
+
+
+@query("D11_preview", "SELECT doc_id, CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '...' ELSE text END AS preview FROM documents")
+def d11(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.clipped(F.col("text"), 30).alias("preview"))
+
+
+@query("D12_ago", "SELECT event_id, CASE WHEN event_id < 60 THEN 'just now' WHEN event_id < 3600 THEN (event_id // 60)::VARCHAR || 'm ago' WHEN event_id < 86400 THEN (event_id // 3600)::VARCHAR || 'h ago' ELSE (event_id // 86400)::VARCHAR || 'd ago' END AS ago FROM events")
+def d12(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.ago(F.col("event_id")).alias("ago"))
+
+
+# --- layout --------------------------------------------------------------------------------------
+@query(
+    "E2_merge_votes",
+    B
+    + """, v AS (SELECT doc, CAST(floor((x + w / 2) / 30) AS BIGINT) AS gx, CAST(floor((y + h / 2) / 30) AS BIGINT) AS gy, trim(text) AS text, avg(confidence) AS m, count(*) AS n, max(confidence) AS confidence, min(seq) AS s FROM b GROUP BY ALL),
+    s AS (SELECT *, round(m * (1 + 0.1 * n), 9) AS score FROM v) SELECT doc, gx, gy, text, confidence, score FROM s QUALIFY row_number() OVER (PARTITION BY doc, gx, gy ORDER BY score DESC, s) = 1""",
+)
+def e2(spark, sf_dir):
+    return L.merge_votes(boxes(table(spark, sf_dir, "lineitem")))
+
+
+@query("E3_dedupe", B + "SELECT doc, seq, text, confidence FROM b QUALIFY row_number() OVER (PARTITION BY doc, floor((x + w / 2) / 20), floor((y + h / 2) / 20) ORDER BY confidence DESC, seq) = 1")
+def e3(spark, sf_dir):
+    return L.dedupe(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "text", "confidence")
+
+
+@query("E4_reading_order", B + "SELECT doc, seq, row_number() OVER (PARTITION BY doc ORDER BY floor((y + h / 2) / 15), x + w / 2, seq) AS pos FROM b")
+def e4(spark, sf_dir):
+    return L.reading_order(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "pos")
+
+
+LINES = """, c AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy, greatest(15.0, avg(h) OVER (PARTITION BY doc) * 0.5) AS tol FROM b),
+    j AS (SELECT *, coalesce(CAST(abs(cy - lag(cy) OVER (PARTITION BY doc ORDER BY cy, cx, seq)) > tol AS INT), 0) AS jump FROM c),
+    l AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY doc ORDER BY cy, cx, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM j)"""
+
+
+@query("E5_lines", B + LINES + " SELECT doc, seq, line FROM l")
+def e5(spark, sf_dir):
+    return L.lines(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "line")
+
+
+@query(
+    "E6_layout_text",
+    B
+    + LINES
+    + """, g AS (SELECT doc, line, string_agg(text, ' ' ORDER BY x, seq) AS text, min(x) AS lft, min(y) AS top, max(y + h) AS bottom FROM l GROUP BY doc, line),
+    k AS (SELECT *, first_value(lft) OVER (PARTITION BY doc ORDER BY line) AS first_left, lag(bottom) OVER (PARTITION BY doc ORDER BY line) AS prev FROM g),
+    z AS (SELECT doc, line, concat(CASE WHEN top - prev > 1.5 * (bottom - top) THEN chr(10) ELSE '' END, repeat('  ', CAST(greatest(0, trunc((lft - first_left) / 40)) AS INT)), text) AS text FROM k)
+    SELECT doc, string_agg(text, chr(10) ORDER BY line) AS text FROM z GROUP BY doc""",
+)
+def e6(spark, sf_dir):
+    return L.layout_text(boxes(table(spark, sf_dir, "lineitem")))
+
+
+@query("E8_page_numbers", "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page, unnest(string_split(text, chr(10))) AS text FROM documents")
+def e8(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "text")
+
+
+@query("E9_machine_readable", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND len(x) >= 2 THEN x[1] || chr(10) || x[2] END AS mrz FROM (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda s: replace(upper(s), ' ', '<')), lambda s: length(s) >= 28) AS x FROM documents WHERE lang <> 'de')")
+def e9(spark, sf_dir):
+    kind = F.when(F.col("lang").isin("en", "de"), "passport").otherwise("other")
+    return documents(spark, sf_dir).filter("lang <> 'de'").select("doc_id", L.machine_readable_lines(F.split("text", "\n"), kind).alias("mrz"))
+
+
+@query("E10_pair_overlap", B + "SELECT p.doc, p.seq AS a, q.seq AS b, round(greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)), 6) AS inter FROM b p JOIN b q ON p.doc = q.doc AND p.seq < q.seq")
+def e10_pairs(spark, sf_dir):
+    b = boxes(table(spark, sf_dir, "lineitem"))
+    p, q = b.alias("p"), b.alias("q")
+    side = lambda a, n: F.greatest(F.lit(0.0), F.least(F.col(f"p.{a}") + F.col(f"p.{n}"), F.col(f"q.{a}") + F.col(f"q.{n}")) - F.greatest(f"p.{a}", f"q.{a}"))
+    return p.join(q, (F.col("p.doc") == F.col("q.doc")) & (F.col("p.seq") < F.col("q.seq"))).select("p.doc", F.col("p.seq").alias("a"), F.col("q.seq").alias("b"), F.round(side("x", "w") * side("y", "h"), 6).alias("inter"))
+
+
+@query("E10_suppress")
+def e10(spark, sf_dir):
+    return L.suppress(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "text", "confidence")
+
+
+@query("E11_watermarks", B + f", c AS (SELECT *, {CENTRE} FROM b) SELECT doc, seq FROM c WHERE (area > 20000 AND confidence < 0.85) OR (area > 10000 AND confidence < 0.70) OR (area > 5000 AND length(text) < 5) OR (area > 15000 AND confidence < 0.90 AND abs(cx - 400) / 400 < 0.3 AND abs(cy - 100) / 100 < 0.3)")
+def e11(spark, sf_dir):
+    return boxes(table(spark, sf_dir, "lineitem")).filter(L.is_watermark(800.0, 200.0)).select("doc", "seq")
+
+
+@query("E12_draw_order", B + "SELECT doc, seq, row_number() OVER (PARTITION BY doc ORDER BY w * h DESC, seq) AS rank FROM b")
+def e12(spark, sf_dir):
+    return L.draw_order(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "rank")
+
+
+@query("E13_style", B + "SELECT doc, seq, h > 1.5 * w AS vertical, CAST(greatest(10, least(200, trunc(h * 0.8 * 3))) AS INT) AS font, CASE WHEN w * h > 135000 AND confidence < 0.85 THEN 40 ELSE 255 END AS alpha FROM b")
+def e13(spark, sf_dir):
+    return boxes(table(spark, sf_dir, "lineitem")).select("doc", "seq", *[c.alias(n) for n, c in L.style().items()])
+
+
+@query("E14_equations", B + "SELECT doc, seq, row_number() OVER (PARTITION BY doc ORDER BY y, x, seq) AS pos FROM b WHERE w > 200 AND w < 800 AND h > 20 AND h < 150")
+def e14(spark, sf_dir):
+    return L.equation_candidates(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "pos")
+
+
+# --- stream --------------------------------------------------------------------------------------
+@query("G_daily_events", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def g_daily(spark, sf_dir):
+    from docloom.streaming.pipeline import daily_counts
+
+    d = daily_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
