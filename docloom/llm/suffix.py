@@ -261,9 +261,10 @@ def repeated_spans(docs: DataFrame, length: int, keep: str, crowd: int, stage: S
     """doc_id, t, start, stop of the repeated passages; docs has doc_id, t and text."""
     place = ("doc_id", "t", "lo", "hi", "at")
     found = stage.write(stretches(docs, length), "stretches")
-    shared = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    # written, so that rows of a frequent anchor can be split in the join
+    shared = stage.write(found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "shared")
     met = stage.write(found.join(shared, "h"), "met")
-    stage.drop("stretches")
+    stage.drop("stretches", "shared")
     kinds = stage.write(met.groupBy("h", "kind").agg(F.count("*").alias("c"), F.min(F.struct(*place)).alias("rep")), "kinds")
     whole = met.join(kinds.filter("c > 1"), ["h", "kind"])
     if keep == "first":
