@@ -1,9 +1,10 @@
-"""Token ids from a public tokenizer file, with a cache of the ids of blank-separated units.
+"""Token ids from a public tokenizer file, with a cache of the ids of units.
 
-A byte-level BPE with the usual split pattern never joins what stands before a blank with what
-follows it when the blank is followed by a visible character, so such a text is the concatenation
-of its units, and the ids of a unit can be kept. Texts with other white space after a blank, and
-other kinds of tokenizers, are encoded whole.
+A byte-level BPE with the usual split pattern never joins what stands before a blank or line end with
+what follows it when a visible character follows, so such a text is the concatenation of its units,
+each with the blank or line end before it, and the ids of a unit can be kept. Punctuation after a
+letter or digit at the end of a unit is a split of its own, so units that differ in it share their core.
+Texts with other white space after a blank or line end, and other kinds of tokenizers, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from array import array
 
 import numpy as np
 
-_ODD = re.compile(r" (?=\s|\Z)")
+_ODD = re.compile(r"[ \n](?=\s|\Z)")
+_MARKS = ".,;:!?"
 _LOADED: dict[str, "Encoder"] = {}
 #: Units kept by a worker, in two generations: when the newer is full it becomes the older.
 CACHE_UNITS = 800_000
@@ -38,6 +40,7 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has one character for each byte
         for token, k in vocab.items():
             self.bytes_of[k] = len(token)
+        self.marks: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -45,20 +48,47 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> None:
-        """Encode units, each after a blank, as one text, and cut its ids where the units end."""
+        """Add units to the cache: their cores from the tokenizer, marks from the table of marks."""
+        cores, composed = [], []
+        new, old = self.new, self.old
+        asked = set()
+        for u in units:
+            core = u.rstrip(_MARKS)
+            if len(core) == len(u) or not core[-1:].isalnum():
+                if u not in asked:
+                    asked.add(u)
+                    cores.append(u)
+            else:
+                composed.append((u, core))
+                if core not in asked and core not in new:
+                    asked.add(core)
+                    if core in old:
+                        new[core] = old[core]
+                    else:
+                        cores.append(core)
+        self._encode(cores)
+        for u, core in composed:
+            tail = u[len(core) :]
+            ids = self.marks.get(tail)
+            if ids is None:
+                ids = self.marks[tail] = self._whole([tail])[0]
+            new[u] = new[core] + ids
+
+    def _encode(self, units: list[str]) -> None:
+        """Encode units as one text, and cut its ids where the units end."""
         for k in range(0, len(units), 8192):
             own = units[k : k + 8192]
-            text = " " + " ".join(own)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum([1 + len(u.encode()) for u in own])
-            cuts = [0, *np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left").__add__(1).tolist()]
+            parts = [u if u[0] == "\n" else " " + u for u in own]
+            ids = np.array(self.tokenizer.encode("".join(parts), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in parts])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1).tolist()]
             raw = ids.tobytes()
             self.new.update(zip(own, [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > CACHE_UNITS // 2:
             self.old, self.new = self.new, {}
-        split = [t.split(" ") for t in texts]
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = self._whole([u[0] for u in split])
         seen = set()
         for u in split:
