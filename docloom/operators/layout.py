@@ -13,12 +13,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL, ROW, INDENT = 30, 15, 40
-cx, cy, area = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("w") * F.col("h")
+
+
+def cx() -> Column:
+    return F.col("x") + F.col("w") / 2
+
+
+def cy() -> Column:
+    return F.col("y") + F.col("h") / 2
+
+
+def area() -> Column:
+    return F.col("w") * F.col("h")
 
 
 def merge_votes(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     """One text for each cell: the best mean confidence, a tenth more for each vote; first seen wins ties."""
-    g = [F.floor(cx / cell).alias("gx"), F.floor(cy / cell).alias("gy")]
+    g = [F.floor(cx() / cell).alias("gx"), F.floor(cy() / cell).alias("gy")]
     votes = boxes.groupBy("doc", *g, F.trim("text").alias("text")).agg(F.avg("confidence").alias("m"), F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.min("seq").alias("first"))
     votes = votes.withColumn("score", F.round(F.col("m") * (1 + 0.1 * F.col("n")), 9))
     w = Window.partitionBy("doc", "gx", "gy").orderBy(F.desc("score"), "first")
@@ -26,12 +37,12 @@ def merge_votes(boxes: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def dedupe(boxes: DataFrame, cell: int = 20) -> DataFrame:
-    w = Window.partitionBy("doc", F.floor(cx / cell), F.floor(cy / cell)).orderBy(F.desc("confidence"), "seq")
+    w = Window.partitionBy("doc", F.floor(cx() / cell), F.floor(cy() / cell)).orderBy(F.desc("confidence"), "seq")
     return boxes.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc").orderBy(F.floor(cy / ROW), cx, "seq")
+    w = Window.partitionBy("doc").orderBy(F.floor(cy() / ROW), cx(), "seq")
     return boxes.withColumn("pos", F.row_number().over(w).cast("long"))
 
 
@@ -39,7 +50,7 @@ def lines(boxes: DataFrame) -> DataFrame:
     """line (from 0): a new one where the centre is further from the one before than the tolerance."""
     by = Window.partitionBy("doc")
     order = by.orderBy("_cy", "_cx", "seq")
-    out = boxes.withColumns({"_cx": cx, "_cy": cy, "_tol": F.greatest(F.lit(15.0), F.avg("h").over(by) * 0.5)})
+    out = boxes.withColumns({"_cx": cx(), "_cy": cy(), "_tol": F.greatest(F.lit(15.0), F.avg("h").over(by) * 0.5)})
     jump = F.coalesce((F.abs(F.col("_cy") - F.lag("_cy").over(order)) > F.col("_tol")).cast("int"), F.lit(0))
     out = out.withColumn("_jump", jump)
     return out.withColumn("line", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_cx", "_cy", "_tol", "_jump")
@@ -67,20 +78,20 @@ def machine_readable_lines(lines_: Column, document_type: Column) -> Column:
 
 def is_watermark(width: float, height: float) -> Column:
     c, n = F.col("confidence"), F.length("text")
-    central = (F.abs(cx - width / 2) / (width / 2) < 0.3) & (F.abs(cy - height / 2) / (height / 2) < 0.3)
-    return ((area > 20000) & (c < 0.85)) | ((area > 10000) & (c < 0.70)) | ((area > 5000) & (n < 5)) | ((area > 15000) & (c < 0.90) & central)
+    central = (F.abs(cx() - width / 2) / (width / 2) < 0.3) & (F.abs(cy() - height / 2) / (height / 2) < 0.3)
+    return ((area() > 20000) & (c < 0.85)) | ((area() > 10000) & (c < 0.70)) | ((area() > 5000) & (n < 5)) | ((area() > 15000) & (c < 0.90) & central)
 
 
 def style() -> dict[str, Column]:
     return {
         "vertical": F.col("h") > 1.5 * F.col("w"),
         "font": F.greatest(F.lit(10), F.least(F.lit(200), (F.col("h") * 0.8 * 3).cast("int"))),
-        "alpha": F.when((area > 15000 * 9) & (F.col("confidence") < 0.85), 40).otherwise(255),
+        "alpha": F.when((area() > 15000 * 9) & (F.col("confidence") < 0.85), 40).otherwise(255),
     }
 
 
 def draw_order(boxes: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc").orderBy(area.desc(), "seq")
+    w = Window.partitionBy("doc").orderBy(area().desc(), "seq")
     return boxes.withColumn("rank", F.row_number().over(w).cast("long"))
 
 

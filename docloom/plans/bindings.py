@@ -44,7 +44,7 @@ def _split(text: str) -> list[str]:
 
 #: `lineitem` as recognised text boxes.
 BOX_COLUMNS = """
-    l_orderkey AS doc, l_linenumber AS seq, concat('w', CAST(l_partkey % 9 AS STRING)) AS text,
+    l_orderkey AS doc, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS seq, concat('w', CAST(l_partkey % 9 AS STRING)) AS text,
     CAST(1 - l_discount AS DOUBLE) AS confidence,
     CAST(l_partkey * 7 % 800 AS DOUBLE) AS x, CAST(l_suppkey * 13 % 200 AS DOUBLE) AS y,
     CAST(20 + l_partkey % 300 AS DOUBLE) AS w, CAST(10 + l_suppkey % 70 AS DOUBLE) AS h

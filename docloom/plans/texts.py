@@ -250,10 +250,10 @@ def e8(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "text")
 
 
-@query("E9_machine_readable", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND len(x) >= 2 THEN x[1] || chr(10) || x[2] END AS mrz FROM (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda s: replace(upper(s), ' ', '<')), lambda s: length(s) >= 28) AS x FROM documents WHERE lang <> 'de')")
+@query("E9_machine_readable", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND len(x) >= 2 THEN x[1] || chr(10) || x[2] END AS mrz FROM (SELECT doc_id, lang, list_filter(list_transform(string_split(replace(text, 'ß', 's'), chr(10)), lambda s: replace(upper(s), ' ', '<')), lambda s: length(s) >= 28) AS x FROM documents WHERE lang <> 'de')")
 def e9(spark, sf_dir):
     kind = F.when(F.col("lang").isin("en", "de"), "passport").otherwise("other")
-    return documents(spark, sf_dir).filter("lang <> 'de'").select("doc_id", L.machine_readable_lines(F.split("text", "\n"), kind).alias("mrz"))
+    return documents(spark, sf_dir).filter("lang <> 'de'").select("doc_id", L.machine_readable_lines(F.split(F.replace("text", F.lit("ß"), F.lit("s")), "\n"), kind).alias("mrz"))
 
 
 @query("E10_pair_overlap", B + "SELECT p.doc, p.seq AS a, q.seq AS b, round(greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)), 6) AS inter FROM b p JOIN b q ON p.doc = q.doc AND p.seq < q.seq")
