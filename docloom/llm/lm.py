@@ -229,9 +229,11 @@ class Spelling:
         up = [None] * (depth + 2)
         for k in range(depth, 0, -1):
             self.keys[k], up[k + 1] = np.unique(self.keys[k + 1] & np.uint64((1 << (8 * k)) - 1), return_inverse=True)
+            up[k + 1] = up[k + 1].astype(np.int32)
         self.contexts, where = [np.zeros(0, np.uint64)] * (depth + 2), [None] * (depth + 2)
         for k in range(1, depth + 2):
             self.contexts[k], where[k] = np.unique(self.keys[k] >> np.uint64(8), return_inverse=True)
+            where[k] = where[k].astype(np.int32)
         n = [np.zeros(0)] * (depth + 2)
         n[depth + 1] = customers.astype(np.float64)
         t: list = [None] * (depth + 2)
@@ -308,7 +310,7 @@ def spelling_counts(table: DataFrame, length: int, classes: int) -> DataFrame:
     return table.select("data").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, samples: int = 2, burn: int = 2, classes: int = 16, window: int = 24, own_strength: float = 500.0, chunk: int = 8 << 20, most_grams: int = 4_000_000, buckets: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 4, samples: int = 2, burn: int = 2, classes: int = 16, window: int = 24, own_strength: float = 500.0, chunk: int = 8 << 20, most_grams: int = 4_000_000, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     stage = Stage(spark, "lm")
@@ -325,8 +327,10 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, sampl
     while depth > 0 and grams.count() > most_grams:
         depth -= 1
         grams = stage.write(grams.groupBy(F.col("gram").bitwiseAND((1 << (8 * (depth + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{depth}")
-    got = grams.toPandas().sort_values("gram")  # at most most_grams rows
-    model = spark.sparkContext.broadcast(Spelling(got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy(), depth, samples, burn))
+    got = grams.orderBy("gram").toArrow()  # at most most_grams rows
+    keys, customers = (got.column(c).to_numpy().astype(kind) for c, kind in (("gram", np.uint64), ("n", np.float32)))
+    del got
+    model = spark.sparkContext.broadcast(Spelling(keys, customers, depth, samples, burn))
     d = min(0.95, max(0.1, sums["n1"] / (sums["n1"] + 2 * sums["n2"]))) if sums["n1"] + sums["n2"] else 0.5
     strength = 1.0
     schema = "bucket int, data binary, tables array<double>"
