@@ -192,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
     model = Model(options=o)
     model.weights[0] = np.log((n1 + 0.5) / (n0 + 0.5))
     if n0 and n1:
-        least = max(3, n1 // 500)
+        least = max(5, n1 // 50)
         pure = counts.filter((F.col("p") != "") & (F.col("n1") >= least) & (F.col("n1") * n0 >= o.ratio * n1 * (F.col("n0") + 0.5)))
         found = {r["p"]: r["n1"] for r in pure.collect()}  # beginnings of words of the bounded sample
         closed = {p for p in found if not any(len(q) == len(p) + 1 and found[q] >= 0.9 * found[p] for q in _longer(p, found))}
