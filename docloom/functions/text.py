@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +41,25 @@ def character_error_rate(truth: Column, read: Column) -> Column:
     return F.levenshtein(truth, read) / F.length(truth)
 
 
+def word_error_rate(truth: Column, read: Column) -> Column:
+    """Edits between words for each word of the truth; null for an empty truth."""
+    def rate(a: str | None, b: str | None) -> float | None:
+        x, y = (a or "").split(), (b or "").split()
+        row = list(range(len(y) + 1))
+        for i, w in enumerate(x, 1):
+            new = [i]
+            for j, v in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != v)))
+            row = new
+        return row[-1] / len(x) if x else None
+
+    @F.pandas_udf("double")
+    def rates(t: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([rate(a, b) for a, b in zip(t, r, strict=True)], dtype="float64")
+
+    return rates(truth, read)
+
+
 def sound_code(word: Column) -> Column:
     """A four-character sound code in which vowels, H and W separate equal codes."""
     w = F.upper(word)

@@ -222,6 +222,9 @@ KERNELS = {
 #: The usual order before recognition.
 PREPROCESS = ["gray", "shadow_free", "denoise", "deskew", "binarise"]
 
+#: The order for weak scans: contrast first, then noise, local contrast and ink.
+RECOGNITION = ["gray", "upscale", "stretch", "denoise", "clahe", "sharpen", "otsu"]
+
 
 def transformed(images: DataFrame, steps: list[str] = PREPROCESS) -> DataFrame:
     """Image rows after the named kernels; images that a kernel cannot take keep null data and the error."""

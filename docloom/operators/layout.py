@@ -69,6 +69,12 @@ def layout_text(boxes: DataFrame) -> DataFrame:
     return ls.groupBy("doc").agg(joined.alias("text"))
 
 
+def page_text(laid_out: Column, merged: Column, equations: Column | None = None) -> Column:
+    """The layout text, or the merged text where it is blank; equations follow when asked for."""
+    text = F.coalesce(F.when(F.trim(laid_out) != "", laid_out), merged, F.lit(""))
+    return text if equations is None else F.concat_ws("\n\n", text, F.nullif(equations, F.lit("")))
+
+
 def machine_readable_lines(lines_: Column, document_type: Column) -> Column:
     """The first two lines of 28 characters or more, blanks as <; null with fewer or for other types."""
     long = F.filter(F.transform(lines_, lambda s: F.replace(F.upper(s), F.lit(" "), F.lit("<"))), lambda s: F.length(s) >= 28)

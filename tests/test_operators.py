@@ -31,6 +31,12 @@ def test_edit_ratio(spark):
     assert C.close("invoice", "invoce") and not C.close("invoice", "in")
 
 
+def test_word_errors_and_page_text(spark):
+    df = spark.createDataFrame([("The quick brown fox", "The quik brown fox"), ("", "x")], "a string, b string")
+    assert [r["v"] for r in df.select(T.word_error_rate(F.col("a"), F.col("b")).alias("v")).collect()] == [0.25, None]
+    assert one(spark, L.page_text(F.lit(" "), F.lit("m"))) == "m" and one(spark, L.page_text(F.lit("l"), F.lit("m"), F.lit("e"))) == "l\n\ne"
+
+
 @pytest.mark.parametrize(
     "text,kind,confidence,total,matched",
     [
