@@ -32,12 +32,14 @@ DROPPED_TAGS = frozenset("head nav footer aside form button menu dialog fieldset
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("table ul ol dl div article main section body blockquote".split())
 KEEPS_P_OPEN = frozenset({"br", "head", "title"})
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTR = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|commentlist|respond|replies|disqus|pagination|pager|skip|search|form|copyright|legal|disclaimer|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav|navbar|topnav|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|commentlist|commenters?|discussion|respond|replies|disqus|pagination|pager|skip|search|form|copyright|legal|disclaimer|hidden)(?:$|[\s_-])",
     re.I,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|hentry)(?:$|[\s_-])", re.I)
+PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|blog)[-_]?)?(?:header|head)(?:$|\s)", re.I)
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 BLANK = re.compile(r"\s+")
 
@@ -62,6 +64,9 @@ class Node:
         for name, *value in ATTR.findall(self.attrs) if self.attrs else ():
             name, value = name.lower(), "".join(value)
             if name in ("class", "id") and self.tag not in ("body", "html"):
+                value = CAMEL.sub("-", value)
+                if not inside and PAGE_HEADER.search(value):
+                    self.dropped = True
                 if GOOD.search(value):
                     self.good += 10
                 if NOISE.search(value) and self.tag not in ("article", "main"):

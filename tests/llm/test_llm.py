@@ -261,6 +261,11 @@ def test_page_text():
     for t in (None, "", "<", "<p", "<!--", "<script>x", "<a href='x>y"):
         assert isinstance(html.main_text(t), str)
     assert html.main_text("just words") == "just words"
+    body = "<p>Long text, with commas, here and there, always.</p><p>More of it, and more, and yet more of it.</p>"
+    want = "Long text, with commas, here and there, always.\nMore of it, and more, and yet more of it."
+    noise = "<p>This is something else, of some length, with commas, too, and it goes on and on, really on.</p>"
+    for mark in ("class=sidebarRight", 'id="cookieBanner"', "class='reader-comments'", 'class="header"', "role=navigation", "hidden", 'style="display: none"', 'class="promo box"', "id=newsletter-form"):
+        assert html.main_text(f"<body><div {mark}>{noise}</div><div id=c data-id=comment-1>{body}</div></body>") == want, mark
 
 
 def test_pages_query(spark):
