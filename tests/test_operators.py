@@ -217,3 +217,12 @@ def test_ingest(spark, tmp_path):
     rows = {r["path"][-5:]: r for r in spark.read.parquet(str(tmp_path / "out/documents")).collect()}
     assert rows["a.pdf"]["status"] == "completed" and rows["a.pdf"]["document_type"] == "invoice" and rows["b.png"]["status"] == "failed"
     assert len(rows) == 2
+
+
+def test_stemming(spark):
+    from docloom.functions.stem import lexemes, stem
+
+    known = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "conflated": "conflat", "hopping": "hop", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "generalizations": "gener", "adoption": "adopt", "rate": "rate", "roll": "roll"}
+    assert {w: stem(w) for w in known} == known
+    df = spark.createDataFrame([(1, "The invoices and the INVOICE were paid"), (2, None)], "id long, text string")
+    assert sorted((r["lexeme"], r["positions"]) for r in lexemes(df, "id", "text").collect()) == [("invoic", [2, 5]), ("paid", [7])]
