@@ -46,7 +46,7 @@ class Stage:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1024) -> DataFrame:
     """mapInArrow with a function from one Arrow batch to a dict of columns."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,7 +55,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it):
+        for batch in slices(it, rows):
             yield as_batch(f(batch), target)
 
     return df.mapInArrow(run, schema)

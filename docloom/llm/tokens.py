@@ -20,7 +20,7 @@ _ODD = re.compile(r"[ \n](?=\s|\Z)")
 _MARKS = ".,;:!?"
 _LOADED: dict[str, "Encoder"] = {}
 #: Units kept by a worker, in two generations: when the newer is full it becomes the older.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 500_000
 #: Characters of text that are split at a time.
 CHUNK = 500_000
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc_column, map_batches
+from docloom.llm.common import crc_column, map_batches, slices
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„«»‹›"
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
         keys = list(n[0].keys() | n[1].keys())
         return {"p": keys, "n0": [n[0].get(k, 0) for k in keys], "n1": [n[1].get(k, 0) for k in keys]}
 
-    counts = map_batches(rows, count, "p string, n0 long, n1 long").groupBy("p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
+    counts = map_batches(rows, count, "p string, n0 long, n1 long", 128).groupBy("p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
     total = counts.filter("p = ''").first()
     n0, n1 = (total["n0"], total["n1"]) if total else (0, 0)
     model = Model(options=o)
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
             d = batch.to_pydict()
             return {"x": list(features(d["text"], m, automaton)), "y": [float(v > 0) for v in d["toxic"]]}
 
-        table = map_batches(rows, describe, "x array<double>, y double").toPandas()  # at most max_labelled rows
+        table = map_batches(rows, describe, "x array<double>, y double", 256).toPandas()  # at most max_labelled rows
         model.weights = _fit(np.array(table["x"].tolist()), table["y"].to_numpy(), o.ridge)
     rows.unpersist()
     counts.unpersist()
@@ -234,7 +234,7 @@ def _diverse(rows: DataFrame, terms: set[str], found: dict[str, int], o: Options
                         seen.add((w[:n], a))
         return {"p": [x[0] for x in seen], "a": [x[1] for x in seen]}
 
-    n = map_batches(rows, before, "p string, a string").groupBy("p").agg(F.countDistinct("a").alias("n")).collect()
+    n = map_batches(rows, before, "p string, a string", 256).groupBy("p").agg(F.countDistinct("a").alias("n")).collect()
     return [r["p"] for r in n if r["n"] >= min(0.25 * found[r["p"]], 100)]
 
 
@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         x = features(batch.column("text").to_pylist(), model, automaton)
         return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))), "matches": np.expm1(x[:, 1:4]).sum(axis=1).round().astype(np.int64)}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, matches long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, matches long", 256)
 
 
 def flag(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,9 +257,8 @@ def flag(docs: DataFrame, model: Model) -> DataFrame:
     def run(it):
         import pyarrow as pa
 
-        for batch in it:
-            if batch.num_rows:
-                x = features(batch.column(names.index("text")).to_pylist(), model, automaton)
-                yield batch.filter(pa.array(x @ model.weights < 0))
+        for batch in slices(it, 256):
+            x = features(batch.column(names.index("text")).to_pylist(), model, automaton)
+            yield batch.filter(pa.array(x @ model.weights < 0))
 
     return docs.mapInArrow(run, docs.schema)
