@@ -25,7 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc_column, map_batches, slices
+from docloom.llm.common import arrow_schema, as_batch, crc_column, map_batches, slices
+from docloom.session import ship_package
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„«»‹›"
@@ -170,6 +171,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, o: Options) -> DataFrame
 
 def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) -> Model:
     o = options or Options()
+    ship_package(docs.sparkSession)
     rows = labelled_sample(docs, labels, o).select("text", "toxic").cache()
 
     def beginnings(words):
@@ -177,16 +179,27 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
             for n in range(o.least_length, min(len(w), o.most_length) + 1):
                 yield w[:n]
 
-    def count(batch):
-        d, n = batch.to_pydict(), ({}, {})
-        for t, y in zip(d["text"], d["toxic"], strict=True):
-            own = n[int(y > 0)]
-            for p in {""} | set(beginnings(set(WORD.findall(t.lower())) if t else ())):
-                own[p] = own.get(p, 0) + 1
-        keys = list(n[0].keys() | n[1].keys())
-        return {"p": keys, "n0": [n[0].get(k, 0) for k in keys], "n1": [n[1].get(k, 0) for k in keys]}
+    target = arrow_schema("p string, n0 long, n1 long")
+
+    def count(it):
+        own: dict[str, int] = {}  # toxic documents count 2^32
+
+        def emit():
+            n = np.fromiter(own.values(), np.int64, len(own))
+            return as_batch({"p": list(own), "n0": n & 0xFFFFFFFF, "n1": n >> 32}, target)
+
+        for batch in slices(it, 64):
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                one = 1 << 32 if y > 0 else 1
+                for p in {""} | set(beginnings(set(WORD.findall(t.lower())) if t else ())):
+                    own[p] = own.get(p, 0) + one
+            if len(own) > 300_000:
+                yield emit()
+                own = {}
+        if own:
+            yield emit()
 
-    counts = map_batches(rows, count, "p string, n0 long, n1 long", 128).groupBy("p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
+    counts = rows.mapInArrow(count, "p string, n0 long, n1 long").groupBy("p").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).cache()
     total = counts.filter("p = ''").first()
     n0, n1 = (total["n0"], total["n1"]) if total else (0, 0)
     model = Model(options=o)
@@ -251,6 +264,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 def flag(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns kept, that are not toxic (score under 0.5)."""
+    ship_package(docs.sparkSession)
     automaton = Automaton(model.terms, model.options.fuzzy_from)
     names = docs.columns
 
