@@ -106,30 +106,47 @@ def equation_candidates(boxes: DataFrame) -> DataFrame:
     return boxes.filter("w > 200 AND w < 800 AND h > 20 AND h < 150").withColumn("pos", F.row_number().over(w).cast("long"))
 
 
-def _suppressed(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept: list = []
-    for r in pdf.sort_values(["confidence", "seq"], ascending=[False, True], kind="stable").itertuples():
-        size = r.w * r.h
+def _suppressed(rows: list[tuple]) -> list[tuple]:
+    """Kept rows of one document, as (confidence, seq, text, x, y, w, h, number)."""
+    kept: list[tuple] = []
+    for r in sorted(rows, key=lambda r: (-r[0], r[1])):
+        _, _, text, x, y, w, h, _ = r
+        size = w * h
         if size <= 0:
             continue
-        clash = False
-        for k in kept:
-            inter = max(0.0, min(r.x + r.w, k.x + k.w) - max(r.x, k.x)) * max(0.0, min(r.y + r.h, k.y + k.h) - max(r.y, k.y))
-            own = k.w * k.h
-            iou = inter / (size + own - inter)
-            if iou > 0.20 or inter / own > 0.80 or inter / size > 0.80:
-                clash = True
-            else:
-                apart = ((r.x + r.w / 2 - k.x - k.w / 2) ** 2 + (r.y + r.h / 2 - k.y - k.h / 2) ** 2) ** 0.5
-                if apart < 50 or iou > 0.01:
-                    clash = difflib.SequenceMatcher(None, r.text.lower(), k.text.lower()).ratio() > 0.90
-            if clash:
+        for _, _, t2, x2, y2, w2, h2, _ in kept:
+            inter = max(0.0, min(x + w, x2 + w2) - max(x, x2)) * max(0.0, min(y + h, y2 + h2) - max(y, y2))
+            iou = inter / (size + w2 * h2 - inter)
+            if iou > 0.20 or inter / (w2 * h2) > 0.80 or inter / size > 0.80:
                 break
-        if not clash:
+            apart = ((x + w / 2 - x2 - w2 / 2) ** 2 + (y + h / 2 - y2 - h2 / 2) ** 2) ** 0.5
+            if (apart < 50 or iou > 0.01) and difflib.SequenceMatcher(None, text.lower(), t2.lower()).ratio() > 0.90:
+                break
+        else:
             kept.append(r)
-    return pdf.loc[[k.Index for k in kept]]
+    return kept
 
 
 def suppress(boxes: DataFrame) -> DataFrame:
-    """Greedy suppression by confidence; it depends on order, so a document is one pandas group."""
-    return boxes.groupBy("doc").applyInPandas(_suppressed, boxes.schema)
+    """Greedy suppression by confidence. It depends on order, so a document is one unit of work; documents
+    lie side by side in their partition and are read as a stream, many to a batch."""
+
+    def run(it):
+        rest = None
+        for pdf in it:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            cut = pdf["doc"].ne(pdf["doc"].iloc[-1])
+            rest = pdf[~cut].reset_index(drop=True)  # the last document may go on in the next batch
+            yield _of_batch(pdf[cut].reset_index(drop=True))
+        if rest is not None:
+            yield _of_batch(rest)
+
+    return boxes.repartition("doc").sortWithinPartitions("doc").mapInPandas(run, boxes.schema)
+
+
+def _of_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+    by: dict = {}
+    columns = [pdf[c].tolist() for c in ("confidence", "seq", "text", "x", "y", "w", "h")]
+    for k, (doc, *row) in enumerate(zip(pdf["doc"].tolist(), *columns, strict=True)):
+        by.setdefault(doc, []).append((*row, k))
+    return pdf.iloc[sorted(r[-1] for rows in by.values() for r in _suppressed(rows))]
