@@ -145,14 +145,19 @@ def c12(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.round(C.calibrated(best, best / 0.4), 9).alias("confidence"))
 
 
+def spread(spark, df):
+    """Rows over all cores: the tables are single files, and the cascade costs far more than the exchange."""
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 @query("C_classify_forms")
 def c_forms(spark, sf_dir):
-    return C.classify(forms(spark, sf_dir), "id", "text")
+    return C.classify(spread(spark, forms(spark, sf_dir)), "id", "text")
 
 
 @query("C_classify_documents")
 def c_documents(spark, sf_dir):
-    return C.classify(documents(spark, sf_dir), "doc_id", "text")
+    return C.classify(spread(spark, documents(spark, sf_dir).select("doc_id", "text")), "doc_id", "text")
 
 
 # --- extraction ----------------------------------------------------------------------------------
