@@ -39,6 +39,8 @@ class Options:
     least_length: int = 4
     most_length: int = 12
     ratio: float = 20.0
+    least_toxic: int = 3
+    chance: float = 1e-4
     fuzzy_from: int = 5
     window: int = 40
     ridge: float = 1e-2
@@ -205,8 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
     model = Model(options=o)
     model.weights[0] = np.log((n1 + 0.5) / (n0 + 0.5))
     if n0 and n1:
-        least = max(5, n1 // 50)
-        pure = counts.filter((F.col("p") != "") & (F.col("n1") >= least) & (F.col("n1") * n0 >= o.ratio * n1 * (F.col("n0") + 0.5)))
+        pure = counts.filter((F.col("p") != "") & (F.col("n1") >= o.least_toxic) & (F.col("n1") * n0 >= o.ratio * n1 * (F.col("n0") + 0.5)) & (_surprise(n1 / (n0 + n1)) >= -np.log(o.chance)))
         found = {r["p"]: r["n1"] for r in pure.collect()}  # beginnings of words of the bounded sample
         closed = {p for p in found if not any(len(q) == len(p) + 1 and found[q] >= 0.9 * found[p] for q in _longer(p, found))}
         terms = {p for p in closed if not any(p[:k] in closed for k in range(o.least_length, len(p)))}
@@ -225,6 +226,13 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
     return model
 
 
+def _surprise(share: float):
+    """Minus the log of Chernoff's bound on n1 of n0 + n1 documents being toxic if each is by `share`."""
+    n1, n0 = F.col("n1"), F.col("n0")
+    against = F.when(n0 > 0, n0 * F.log(n0 / ((n0 + n1) * (1 - share)))).otherwise(0.0)
+    return n1 * F.log(n1 / ((n0 + n1) * share)) + against
+
+
 def _longer(p: str, found: dict[str, int], _index: dict = {}) -> list[str]:  # noqa: B006
     if _index.get("of") is not found:
         _index.clear()

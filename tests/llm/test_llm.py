@@ -308,6 +308,15 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.6 * sum(r["toxic"] == 1 for r in held) and false <= 1  # some labels here are noise
 
 
+def test_toxicity_terms_of_a_rare_language(spark):
+    r = random.Random(5)
+    text = lambda *own: " ".join([*("".join(r.choice("aeiourst") for _ in range(6)) for _ in range(12)), *own])
+    rows = [(i, text("scum"), 1) for i in range(600)] + [(600 + i, text("imbécil"), 1) for i in range(12)] + [(1000 + i, text(), 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert any("imbécil".startswith(t) for t in m.terms) and "scum" in m.terms and len(m.terms) == 2
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None), (99, 0)], "doc_id long, toxic int")
     m = toxicity.learn(odd, labels)
