@@ -378,6 +378,13 @@ def test_lm_base_and_score(spark, odd):
     assert lm.scores(odd.limit(0)).count() == 0
 
 
+def test_lm_depth(spark, odd, monkeypatch):
+    depths, init = [], lm.Spelling.__init__
+    monkeypatch.setattr(lm.Spelling, "__init__", lambda self, grams, n, depth, *rest: depths.append(depth) or init(self, grams, n, depth, *rest))
+    lm.scores(odd)
+    assert depths == [5]
+
+
 def test_spelling_sums_to_one():
     g, n = np.unique(lm.grams_of(*lm.spelled(b"ab\naab\nabc\nb"), 3), return_counts=True)
     s = lm.Spelling(g, n, 2, 2, 1)
