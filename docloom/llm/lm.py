@@ -20,8 +20,8 @@ texts as numbers of its own word list and sends that list, dealt by word hash, t
 gathers its words over all chunks: exact counts and spellings, evenly spread, since a chunk names a word
 once however often it occurs. Buckets give the grams of the spelling model, score each distinct word
 once, and answer the chunks with count and probability of the words they named. The grams of word
-types are the only thing collected; their number is checked, and while it exceeds `most_grams`
-the depth is lowered by one (documented bound of driver and broadcast memory).
+types are the only thing collected, all of them at every size: the depth never changes, and the memory
+of the driver and of the broadcast model grows with the distinct grams.
 
 Defined cases: a null or empty text is one end; null ids are hashed as the empty text; repeated rows
 count each; an empty table gives an empty result; without training rows N and V are 0, base
@@ -310,7 +310,7 @@ def spelling_counts(table: DataFrame, length: int, classes: int) -> DataFrame:
     return table.select("data").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, samples: int = 2, burn: int = 2, classes: int = 16, window: int = 24, own_strength: float = 500.0, chunk: int = 8 << 20, most_grams: int = 4_000_000, buckets: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, samples: int = 2, burn: int = 2, classes: int = 16, window: int = 24, own_strength: float = 500.0, chunk: int = 8 << 20, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     stage = Stage(spark, "lm")
@@ -324,10 +324,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, sampl
     total, types = sums["n"], sums["v"]
     n_z, k_z = (np.array([sums[f"{c}{z}_"] for z in range(classes)], np.float64) for c in ("by", "kinds"))
     grams = stage.write(spelling_counts(table, depth + 1, classes), "grams")
-    while depth > 0 and grams.count() > most_grams:
-        depth -= 1
-        grams = stage.write(grams.groupBy(F.col("gram").bitwiseAND((1 << (8 * (depth + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{depth}")
-    got = grams.orderBy("gram").toArrow()  # at most most_grams rows
+    got = grams.orderBy("gram").toArrow()  # all grams of word types: grows with them
     keys, customers = (got.column(c).to_numpy().astype(kind) for c, kind in (("gram", np.uint64), ("n", np.float32)))
     del got
     model = spark.sparkContext.broadcast(Spelling(keys, customers, depth, samples, burn))

@@ -383,6 +383,9 @@ def test_lm_depth(spark, odd, monkeypatch):
     monkeypatch.setattr(lm.Spelling, "__init__", lambda self, grams, n, depth, *rest: depths.append(depth) or init(self, grams, n, depth, *rest))
     lm.scores(odd)
     assert depths == [5]
+    monkeypatch.setattr(type(odd), "count", lambda self: 5_000_000)  # many grams
+    lm.scores(odd)
+    assert depths == [5, 5]
 
 
 def test_spelling_sums_to_one():
