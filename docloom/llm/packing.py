@@ -12,7 +12,8 @@ Ranks need no sort: a task counts the pieces of each length as it cuts them, and
 thus spread over the tasks that read it.
 
 Defined cases: a null or empty text is the end id alone; null ids and repeated rows are packed as
-rows of their own; an empty table packs to an empty result; other columns are ignored.
+rows of their own; equal lengths take their places in order of task and row; a very long text becomes
+many full pieces behind one that may be shorter; an empty table packs to an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,13 +114,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
     seen: dict[int, np.ndarray] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
-        d = batch.to_pydict()
         out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
-        for doc, task, ids in zip(d["doc_id"], d["task"], encoder(tokenizer).encode(d["text"]), strict=True):
+        of = encoder(tokenizer).encode_column(batch.column("text"))
+        for doc, task, ids in zip(batch.column("doc_id").to_pylist(), batch.column("task").to_pylist(), of, strict=True):
             if task not in seen:
                 seen.clear()
                 seen[task] = np.zeros(capacity + 1, np.int64)
-            ids += end
+            ids = ids.astype("<u4").tobytes() + end
             for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                 own = ids[4 * start : 4 * (start + length)]
                 for c, v in zip(("doc_id", "piece", "start", "length", "ids_crc32", "rank", "task"), (doc, k, start, length, zlib.crc32(own), int(seen[task][length]), task), strict=True):

@@ -16,7 +16,8 @@ hold the part, the block's number and its first id within the part: with the tot
 these give every block its place in the whole corpus (`index`), and `read_span` reads any stretch.
 
 Defined cases: a null or empty text is the end id alone; rows with equal ids follow each other in
-text order; null ids come first; an empty table gives an empty file; other columns are ignored.
+the order of their texts' hashes; null ids come first; an empty table gives an empty file; a very long
+text is one document of one block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,11 +108,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
             return row
 
         size = 0
-        for batch in slices(it):
-            d = batch.to_pydict()
-            for doc, part, ids in zip(d["doc_id"], d["part"], encoder(tokenizer).encode(d["text"]), strict=True):  # noqa: B007
+        for batch in slices(it, 256):
+            of = encoder(tokenizer).encode_column(batch.column("text"))
+            for doc, part, ids in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), of, strict=True):  # noqa: B007
                 held[0].append(doc)
-                held[1].append(np.concatenate([np.frombuffer(ids, "<u4"), end]))
+                held[1].append(np.concatenate([ids, end]))
                 size += len(held[1][-1])
                 if size >= block_ids:
                     yield close()
@@ -119,7 +120,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
         if held[0]:
             yield close()
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash lets the rows of one id, or those without, spread over many tasks
+    order = ("doc_id", "t", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").repartitionByRange("doc_id", "t").sortWithinPartitions(*order).drop("t")
     rows.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, schema).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
