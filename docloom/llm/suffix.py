@@ -97,20 +97,35 @@ def _pa(x):
     return pa.array(x)
 
 
+def _sorted(key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under `limit` in order, and where they stood; number and place share a word where they fit."""
+    bits = max(1, len(key).bit_length())
+    if limit << bits > 1 << 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    packed = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+    return packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _first_of(new: np.ndarray) -> np.ndarray:
+    """For each place the last place at or before it where something new begins."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
 def truncated_suffix_array(raw: np.ndarray, length: int) -> np.ndarray:
     """Rank of each place by its next `length` bytes (zeros after the end); equal ranks: equal bytes.
 
-    Ranks of 8 bytes come from a sort, ranks of twice the bytes from pairs of ranks, and a place whose
+    Ranks of 5 bytes come from a sort, ranks of twice the bytes from pairs of ranks, and a place whose
     rank is its own is final and not sorted again.
     """
-    n = len(raw)
+    n, have = len(raw), min(5, length)
     padded = np.concatenate([raw, np.zeros(length + 8, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(have):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    rank = _ranks(key[order], order, np.zeros(n, np.int64), 0)
-    have = 8
+    key, order = _sorted(key, 1 << 40)
+    rank = np.empty(n, np.int64)
+    rank[order] = _first_of(np.concatenate([[True], key[1:] != key[:-1]])[:n])
     counts = np.bincount(rank, minlength=n)
     while have < length:
         step = min(have, length - have)
@@ -119,28 +134,16 @@ def truncated_suffix_array(raw: np.ndarray, length: int) -> np.ndarray:
             break
         nxt = open_ + step
         pair = rank[open_] * (n + 1) + np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        order = np.argsort(pair, kind="stable")
-        old = rank[open_[order]]
-        pair = pair[order]
-        new = np.empty(n, np.int64)
-        new[:] = rank
-        first = np.concatenate([[True], pair[1:] != pair[:-1]])
-        group = np.concatenate([[True], old[1:] != old[:-1]])
-        within = np.arange(len(pair)) - np.maximum.accumulate(np.where(group, np.arange(len(pair)), 0))
-        start = np.maximum.accumulate(np.where(first, np.arange(len(pair)), 0))
-        new[open_[order]] = old + within[start]
-        rank = new
+        pair, order = _sorted(pair.astype(np.uint64), (n + 1) ** 2)
+        pair = pair.astype(np.int64)
+        old = pair // (n + 1)
+        group = _first_of(np.concatenate([[True], old[1:] != old[:-1]]))
+        rank[open_[order]] = old + _first_of(np.concatenate([[True], pair[1:] != pair[:-1]])) - group
         counts = np.bincount(rank, minlength=n)
         have += step
     return rank
 
 
-def _ranks(sorted_keys, order, out, base):
-    first = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
-    out[order] = base + np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    return out
-
-
 def factor_flags(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For passages at ascending starts: is there an earlier, is there a later copy among them.
 
@@ -148,8 +151,8 @@ def factor_flags(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     after it, within its equals, tell whether a smaller place precedes or follows: the previous and next
     smaller positions of the longest-previous-factor rule. Maxima tell the same of later copies.
     """
-    order = np.argsort(rank[starts], kind="stable")
-    r, p = rank[starts[order]], starts[order]
+    r, order = _sorted(rank[starts].astype(np.uint64), len(rank))
+    r, p = r.astype(np.int64), starts[order]
     run = np.cumsum(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
     big = np.int64(1) << 40
     up, down = p - run * big, p + run * big
@@ -170,25 +173,53 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _blocks(dealt: DataFrame, length: int, keep: str, most: int = 2_000_000) -> DataFrame:
+def hopeful(raw: np.ndarray, base: np.ndarray, anchor: np.ndarray, group: np.ndarray, length: int, parts: int = 8) -> np.ndarray:
+    """Rows that may share a passage with another of their group; base and anchor are places in raw.
+
+    A passage has some share of its bytes before the anchor. Cut to the next lower and upper of `parts`
+    shares, it gives a string around the anchor that both rows have, so rows whose strings are all their
+    own share nothing. What is left is decided by the suffix array.
+    """
+    up, down = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_TABLE[raw] * up[:-1], out=sums[1:])
+    out = np.zeros(len(anchor), bool)
+    salt = mix64(group.astype(np.uint64))
+    for k in range(parts):
+        a = anchor - k * length // parts
+        b = anchor + max(GRAM, length - -(-(k + 1) * length // parts))
+        there = np.flatnonzero((a >= base[:-1]) & (b <= base[1:]))
+        a, b = a[there], b[there]
+        _, inverse, counts = np.unique(mix64((sums[b] - sums[a]) * down[a]) ^ salt[there], return_inverse=True, return_counts=True)
+        out[there[counts[inverse] > 1]] = True
+    return out
+
+
+def _blocks(dealt: DataFrame, length: int, keep: str, most: int = 1 << 19) -> DataFrame:
     """Spans of repeated passages; dealt has the stretches of an anchor in one task and side by side."""
     schema = "doc_id long, t long, start int, stop int"
     target = arrow_schema(schema)
 
     def solve(rows) -> dict:
-        rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
-        sizes = np.array([len(r[6]) for r in rows], np.int64)
-        base = np.concatenate([[0], np.cumsum(sizes)])
-        rank = truncated_suffix_array(np.frombuffer(b"".join(r[6] for r in rows), np.uint8), length)
-        first = np.array([r[3] - r[5] for r in rows], np.int64)  # passages of a row start from here
+        out = {"doc_id": [], "t": [], "start": [], "stop": []}
+        base = np.concatenate([[0], np.cumsum([len(r[7]) for r in rows])])
+        raw = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
+        anchor = base[:-1] + np.array([r[5] - r[6] for r in rows], np.int64)
+        some = np.flatnonzero(hopeful(raw, base, anchor, np.array([r[0] for r in rows], np.int64), length))
+        rows = sorted((rows[k] for k in some.tolist()), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        if not rows:
+            return out
+        del raw
+        base = np.concatenate([[0], np.cumsum([len(r[7]) for r in rows])])
+        rank = truncated_suffix_array(np.frombuffer(b"".join(r[7] for r in rows), np.uint8), length)
+        first = np.array([r[3] - r[6] for r in rows], np.int64)  # passages of a row start from here
         count = np.array([r[4] - r[3] + 1 for r in rows], np.int64)
         owner = np.repeat(np.arange(len(rows)), count)
         begin = np.concatenate([[0], np.cumsum(count)])
         starts = base[owner] + first[owner] + np.arange(begin[-1]) - begin[owner]
         earlier, later = factor_flags(rank, starts)
         hit = earlier if keep == "first" else earlier | later
-        out = {"doc_id": [], "t": [], "start": [], "stop": []}
-        for k in np.unique(owner[hit]):
+        for k in np.unique(owner[hit]).tolist():
             a, b = runs(hit[begin[k] : begin[k + 1]])
             out["doc_id"] += [rows[k][1]] * len(a)
             out["t"] += [rows[k][2]] * len(a)
@@ -200,13 +231,13 @@ def _blocks(dealt: DataFrame, length: int, keep: str, most: int = 2_000_000) ->
         held, size, last = [], 0, None
         for batch in slices(it):
             d = batch.to_pydict()
-            for row in zip(*(d[c] for c in ("h", "doc_id", "t", "lo", "hi", "origin", "body")), strict=True):
+            for row in zip(*(d[c] for c in ("h", "doc_id", "t", "lo", "hi", "at", "origin", "body")), strict=True):
                 if row[0] != last and size > most:
                     yield as_batch(solve(held), target)
                     held, size = [], 0
                 last = row[0]
                 held.append(row)
-                size += len(row[6])
+                size += len(row[7])
         if held:
             yield as_batch(solve(held), target)
 
@@ -340,18 +371,24 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", crow
     stage = Stage(spark, "suffix")
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
     spans = repeated_spans(rows, length, keep, crowd, stage)
-    by_doc = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("found"))  # of one text
+    by_doc = spans.distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("found"))  # of one text
     # extra columns travel as one struct, whatever their names
     rest = F.struct(*[docs[c] for c in extra]).alias("rest") if extra else F.lit(None).cast("int").alias("rest")
-    wide = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", rest)
-    joined = wide.hint("merge").join(by_doc, wide["doc_id"].eqNullSafe(by_doc["doc_id"]) & (wide["t"] == by_doc["t"]), "left").select(wide["doc_id"], "text", "found", "rest")
+    wide = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", rest, F.monotonically_increasing_id().alias("row"))
+    joined = wide.hint("merge").join(by_doc, wide["doc_id"].eqNullSafe(by_doc["doc_id"]) & (wide["t"] == by_doc["t"]), "left").select(wide["doc_id"], wide["t"], "text", "found", "rest", "row")
+    whole = F.lit(False)
+    if keep == "first":  # of rows that repeat id and text, all but one are later copies
+        again = wide.groupBy("doc_id", "t").agg(F.min("row").alias("row"), F.count("*").alias("c")).filter("c > 1")
+        joined = joined.join(again.select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), F.col("row").alias("row2")), F.expr("doc_id <=> d2 and t = t2"), "left")
+        whole = F.coalesce((F.col("row") != F.col("row2")) & (F.octet_length("text") >= length), F.lit(False))
+    joined = joined.select("doc_id", "text", "found", "rest", whole.alias("whole"))
     names = ["doc_id"] if extra is None else ["doc_id", "text", "rest"]
 
     def run(batch):
         out = {c: batch.column(c) for c in names} | {"n_bytes": [], "spans": [], "kept": [], "left": []}
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+        for text, found, whole in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), batch.column("whole").to_pylist(), strict=True):
             raw = (text or "").encode()
-            cut = merged([(f["start"], f["stop"]) for f in found or ()])
+            cut = [(0, len(raw))] if whole else merged([(f["start"], f["stop"]) for f in found or ()])
             edges = [0, *[x for s in cut for x in s], len(raw)]
             out["n_bytes"].append(len(raw))
             out["spans"].append([{"start": a, "stop": b} for a, b in cut])
