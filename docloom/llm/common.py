@@ -6,6 +6,8 @@ executor costs a re-read and never a result. They are ordinary Parquet written t
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -20,9 +22,11 @@ from docloom.session import ship_package
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -66,6 +70,16 @@ def slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Record
     for batch in it:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and others share the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
 
 
 def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
