@@ -1,128 +1,94 @@
-"""Language-model scores from a hierarchical Pitman-Yor model.
-
-A text is a sequence of words (ASCII letters lower-cased, split at ASCII white space) and one end. Four
-levels of restaurants share parents:
-
-* a document's own restaurant, for what it has said so far, under a mixture of
-* class restaurants (a class is a hash of the language of training documents, one of `classes`),
-  weighted by how well each foretold the last `window` tokens of the text itself, under
-* one restaurant for the whole corpus, whose customers are the tables of the classes, under
-* a spelling model: restaurants of byte contexts of up to `depth` bytes within the word, where the
-  parent of a context is the context without its first byte and the root's parent is uniform.
-
-The language column only sorts training rows into classes; scores are made from texts alone.
-
-Seating (tables for each dish) is sampled by Gibbs sweeps, given the predictive probabilities of the
-parents as they stand; predictive probabilities are averaged over the last `samples` sweeps.
-
-How it is spread out: documents are read once into chunks of about `chunk` bytes. A chunk keeps its
-texts as numbers of its own word list and sends that list, dealt by word hash, to buckets. A bucket
-gathers its words over all chunks: exact counts and spellings, evenly spread, since a chunk names a word
-once however often it occurs. Buckets give the grams of the spelling model, score each distinct word
-once, and answer the chunks with count and probability of the words they named. The grams of word
-types are the only thing collected, all of them at every size: the depth never changes, and the memory
-of the driver and of the broadcast model grows with the distinct grams.
+"""Language-model scores from a hierarchical Pitman-Yor model with word contexts.
+
+A text is a sequence of words (ASCII letters lower-cased, split at ASCII white space) and one end. The word
+before (or the beginning of the text) is the context. Each context is a restaurant whose dishes are the
+words that follow it; a new table there is a customer of the one parent that all contexts share, the
+restaurant of the whole corpus; a new table there takes one of the training words or, with equal
+chance, the class of all other words. So P(w | v) = (c_vw - d t_vw + (strength + d T_v) P(w)) / (strength
++ c_v), and P(w) is the same rule with the tables of all contexts as customers.
+
+Seating is sampled by Gibbs sweeps. A dish's customers all leave their restaurant, and their tables leave
+the parent; then a number of tables is drawn from its exact conditional given everybody else: generalised
+Stirling numbers count the seatings with that many tables (from `exact` customers on, they sit down again
+one after the other, and in groups that double). The parent's customers follow at once and are seated in
+turn, so the next sweep sees new parents. A dish with one customer has one table and nothing to sample.
+Predictive probabilities are averaged over the last `samples` sweeps.
+
+How it is spread out: words are known by 64-bit hashes. Documents are read in chunks; each chunk sends every
+(word, context) pair it holds, with its count, to the word's bucket, so a pair is named once by a chunk
+however often it occurs. A word that is frequent in a sample has its pairs dealt over all buckets by
+context; the sample decides nothing but that, and frequent words are at most 2 / `hot_share`. A
+bucket sweeps over its own pairs, with a parent's state and a context's tables of other buckets as they were at
+the last exchange (approximate distributed Gibbs); an exchange sends tables by context to the bucket of the context's name.
+At the end buckets answer the chunks with counts and tables of what they named. What reaches the
+driver is totals, and counts of the frequent words. Nothing is broadcast that grows with the input.
 
 Defined cases: a null or empty text is one end; null ids are hashed as the empty text; repeated rows
-count each; an empty table gives an empty result; without training rows N and V are 0, base
-probabilities are 1, and words are spelled uniformly; other columns are ignored.
+count each; very long texts are one chunk; an empty table gives an empty result; without training
+rows N and V are 0 and every probability is 1; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stage, arrow_schema, as_batch, crc_mod, slices
+from docloom.llm.common import Stage, arrow_schema, as_batch, crc_mod, mix64, slices, text_bytes
+from docloom.llm.shingles import words as word_hashes
 from docloom.session import ship_package
 
-SYMBOLS = 257  # bytes and the end of a word
-PAD = 0x20
-END = 0x0A
+END, BEGIN = np.uint64(0x5EC0DE5EC0DE0001), np.uint64(0xB5C0DE5EC0DE0002)
+STRENGTH = 1.0
+#: Kinds of rows that pass between chunks and buckets.
+STATE, ASKED, MAIL, TOTALS, HOT = range(5)
+SCHEMA = "kind int, bucket long, other long, data binary, x array<double>"
 
 
-def blob(parts: list[bytes]) -> bytes:
+# --- compact columns -----------------------------------------------------------------------------------
+def blob(arrays: list[np.ndarray]) -> bytes:
+    """Whole numbers, each array byte by byte of its numbers, so that small numbers cost little."""
     import zstandard
 
-    return struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(z)) + z for z in (zstandard.ZstdCompressor(level=1).compress(p) for p in parts))
+    z, out = zstandard.ZstdCompressor(level=1), [struct.pack("<I", len(arrays))]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        size = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T
+        data = z.compress(np.ascontiguousarray(planes).tobytes())
+        out += [struct.pack("<IBI", len(a), size, len(data)), data]
+    return b"".join(out)
 
 
-def unblob(data: bytes) -> list[bytes]:
+def unblob(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    n, at, out = struct.unpack_from("<I", data)[0], 4, []
-    for _ in range(n):
-        size = struct.unpack_from("<I", data, at)[0]
-        out.append(zstandard.ZstdDecompressor().decompress(data[at + 4 : at + 4 + size], max_output_size=1 << 30) if size else b"")
-        at += 4 + size
+    z, at, out = zstandard.ZstdDecompressor(), 4, []
+    for _ in range(struct.unpack_from("<I", data)[0]):
+        n, size, length = struct.unpack_from("<IBI", data, at)
+        at += 9
+        planes = np.frombuffer(z.decompress(data[at : at + length], max_output_size=max(1, n * size)), np.uint8).reshape(size, n)
+        at += length
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :size] = planes.T
+        out.append(full.reshape(-1).view("<u8"))
     return out
 
 
-def chunks(docs: DataFrame, buckets: int, folds: int, held: int, chunk: int, classes: int) -> DataFrame:
-    """(chunk, bucket, data): bucket -1 holds the texts in local word numbers, others the local words."""
-    ship_package(docs.sparkSession)
-    schema = "chunk long, bucket int, data binary"
-    target = arrow_schema(schema)
+def steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
-    def run(it):
-        k, part = 0, 0
-        ids: list = []
-        kinds: list[int] = []
-        rows: list[list[int]] = []
-        local: dict[bytes, int] = {}
-        size = 0
 
-        def close():
-            nonlocal k, ids, kinds, rows, local, size
-            out = {c: [] for c in target.names}
-            words = list(local)
-            bucket = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(buckets)
-            order = np.argsort(bucket, kind="stable")
-            number = np.empty(len(words), np.uint32)
-            number[order] = np.arange(len(words), dtype=np.uint32)
-            flat = number[np.concatenate([np.array(r, np.int64) for r in rows])]
-            lengths = np.array([len(r) for r in rows], np.int64)
-            out_of = np.array([crc_mod(i, folds) == held for i in ids])
-            pair = flat.astype(np.int64) * classes + np.repeat(np.array(kinds, np.int64), lengths)
-            pairs, counts = np.unique(pair[~np.repeat(out_of, lengths)], return_counts=True)
-            name = (part << 24) + k
-            nulls = np.array([i is None for i in ids], np.uint8)
-            docs_ = blob([np.array([i or 0 for i in ids], "<i8").tobytes(), nulls.tobytes(), lengths.astype("<i8").tobytes(), flat.astype("<u4").tobytes()])
-            for c, v in zip(out, (name, -1, docs_), strict=True):
-                out[c].append(v)
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                own = order[edges[b] : edges[b + 1]]
-                i, j = np.searchsorted(pairs, [edges[b] * classes, edges[b + 1] * classes])
-                data = blob([b"\n".join([words[w] for w in own.tolist()]), (pairs[i:j] - edges[b] * classes).astype("<i8").tobytes(), counts[i:j].astype("<i8").tobytes()])
-                for c, v in zip(out, (name, int(b), data), strict=True):
-                    out[c].append(v)
-            k, ids, kinds, rows, local, size = k + 1, [], [], [], {}, 0
-            return as_batch(out, target)
-
-        for batch in slices(it):
-            d = batch.to_pydict()
-            for i, text, kind, part in zip(d["doc_id"], d["text"], d["kind"], d["part"], strict=True):  # noqa: B007
-                raw = (text or "").encode().lower()
-                words = raw.split()
-                words.append(b"")  # the end
-                for w in set(words).difference(local):
-                    local[w] = len(local)
-                rows.append(list(map(local.__getitem__, words)))
-                ids.append(i)
-                kinds.append(kind)
-                size += len(raw) + 8
-                if size > chunk:
-                    yield close()
-        if ids:
-            yield close()
+def names_of(h: np.ndarray) -> np.ndarray:
+    """Contexts go by 48 bits of their hashes."""
+    return h >> np.uint64(16)
+
 
-    kind = F.coalesce(F.crc32(F.col("lang").cast("binary")) % classes, F.lit(0)) if "lang" in docs.columns else F.lit(0)
-    return docs.select("doc_id", "text", kind.cast("int").alias("kind"), F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, schema)
+def bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
+    return ((name >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def _rows(it):
@@ -133,64 +99,110 @@ def _rows(it):
             yield dict(zip(batch.schema.names, row, strict=True))
 
 
-def dictionary(words: DataFrame, classes: int) -> DataFrame:
-    """One row for each bucket: its distinct words, and their counts in each class over all chunks."""
-    schema = "bucket int, data binary, n long, v long, n1 long, n2 long, by array<long>, kinds array<long>"
+# --- chunks -----------------------------------------------------------------------------------------
+class Chunk:
+    """The pairs of a chunk in the order in which it asks for them: by bucket, word and context."""
+
+    def __init__(self, sequences: list[np.ndarray], held: np.ndarray, buckets: int, hot: np.ndarray):
+        self.lengths = np.array([len(s) for s in sequences], np.int64)
+        flat = np.concatenate([*sequences, np.array([BEGIN])])  # the beginning is a word without customers
+        self.words, number = np.unique(flat, return_inverse=True)
+        begin = int(number[-1])
+        word = number[:-1]
+        before = np.concatenate([[begin], word[:-1]])
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        before[self.first] = begin
+        n = len(self.words)
+        key, self.pair = np.unique(word * n + before, return_inverse=True)
+        self.count = np.bincount(self.pair[np.repeat(~held, self.lengths)], minlength=len(key))
+        w, v = key // n, key % n
+        self.home = bucket_of(names_of(self.words), buckets)
+        is_hot = np.isin(self.words, hot)
+        bucket = self.home[w]
+        away = is_hot[w]
+        bucket[away] = bucket_of(names_of(mix64(self.words[w[away]] ^ mix64(self.words[v[away]]))), buckets)
+        order = np.lexsort((v, w, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair, self.count = place[self.pair], self.count[order]
+        self.w, self.v, self.bucket = w[order], v[order], bucket[order]
+        self.check = int(mix64(key.astype(np.uint64) + self.words[v]).sum(dtype=np.uint64) >> np.uint64(1))
+
+    def parts(self):
+        """For each bucket: number, first and last + 1 pair, and the words it is asked about."""
+        asked = np.unique(np.concatenate([self.bucket * (1 << 32) + self.w, self.home * (1 << 32) + np.arange(len(self.words))]))
+        buckets = np.unique(asked >> 32)
+        edges = np.searchsorted(asked >> 32, buckets)
+        first, last = (np.searchsorted(self.bucket, buckets, side).tolist() for side in ("left", "right"))
+        for k, b in enumerate(buckets.tolist()):
+            yield b, first[k], last[k], asked[edges[k] : edges[k + 1] if k + 1 < len(edges) else None] & 0xFFFFFFFF
+
+
+def chunks(docs: DataFrame, make, schema: str, folds: int, held: int, size: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Rows that `make` yields for each chunk: its number, its Chunk, ids of its documents and which are held out."""
+    ship_package(docs.sparkSession)
     target = arrow_schema(schema)
 
     def run(it):
-        now, book, keys, sums = None, {}, [], []
+        k, part, ids, sequences, total = 0, 0, [], [], 0
 
         def close():
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate(sums), minlength=len(k)).astype("<i8")
-            row = {"bucket": [now], "data": [blob([b"\n".join(book), k.astype("<i8").tobytes(), c.tobytes()])], "n": [int(c.sum())], "v": [len(np.unique(k // classes))], "n1": [int((c == 1).sum())], "n2": [int((c == 2).sum())]}
-            row |= {"by": [np.bincount(k % classes, c, minlength=classes).astype(np.int64)], "kinds": [np.bincount(k % classes, minlength=classes)]}
-            return as_batch(row, target)
+            nonlocal k, ids, sequences, total
+            out_of = np.array([crc_mod(i, folds) == held for i in ids])
+            rows = make((part << 24) + k, Chunk(sequences, out_of, buckets, hot), ids, out_of)
+            k, ids, sequences, total = k + 1, [], [], 0
+            yield from (as_batch({c: [v] for c, v in zip(target.names, row, strict=True)}, target) for row in rows)
+
+        for batch in slices(it, 128):
+            raw, offsets = text_bytes(batch.column("text"))
+            h, bounds = word_hashes(raw, offsets)
+            part = batch.column("part")[0].as_py()
+            for r, i in enumerate(batch.column("doc_id").to_pylist()):
+                sequences.append(np.append(h[bounds[r] : bounds[r + 1]], END))
+                ids.append(i)
+                total += int(offsets[r + 1] - offsets[r]) + 8
+                if total > size:
+                    yield from close()
+        if ids:
+            yield from close()
+
+    return docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, schema)
 
-        for row in _rows(it):
-            if row["bucket"] != now:
-                if now is not None:
-                    yield close()
-                now, book, keys, sums = row["bucket"], {}, [], []
-            own, pairs, counts = unblob(row["data"])
-            own = own.split(b"\n")
-            for w in own:
-                if w not in book:
-                    book[w] = len(book)
-            at = np.array(list(map(book.__getitem__, own)), np.int64)
-            pairs = np.frombuffer(pairs, "<i8")
-            keys.append(at[pairs // classes] * classes + pairs % classes)
-            sums.append(np.frombuffer(counts, "<i8").astype(np.float64))
-            if len(keys) >= 64:  # keep the working set near the size of the result
-                k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-                keys, sums = [k], [np.bincount(inverse, np.concatenate(sums), minlength=len(k))]
-        if now is not None:
-            yield close()
-
-    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-
-
-def spelled(words: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all words, each with its end, and where each word begins (with an end)."""
-    raw = np.frombuffer(words + b"\n", np.uint8).astype(np.uint64)
-    ends = np.flatnonzero(raw == END)
-    return raw, np.concatenate([[0], ends + 1])
-
-
-def grams_of(raw: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """The k symbols that end at each place, blanks before a word's first."""
-    at = np.arange(len(raw)) - np.repeat(bounds[:-1], np.diff(bounds))
-    g = raw.copy()
-    for j in range(1, k):
-        back = np.full(len(raw), PAD, np.uint64)
-        back[j:] = raw[:-j] if j else raw
-        g |= np.where(at >= j, back, np.uint64(PAD)) << np.uint64(8 * j)
-    return g
+
+def frequent(docs: DataFrame, share: float, most: int) -> tuple[np.ndarray, int]:
+    """Words with at least that share of the words of about `most` documents, and the bytes of all texts.
+
+    Both only decide how work is dealt out, so results do not depend on the sample.
+    """
+    ship_package(docs.sparkSession)
+    all_ = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    target = arrow_schema("h long, n long")
+
+    def run(it):
+        for batch in slices(it, 256):
+            h, n = np.unique(np.append(word_hashes(*text_bytes(batch.column("text")))[0], np.repeat(END, batch.num_rows)), return_counts=True)
+            yield as_batch({"h": h.astype(np.int64), "n": n}, target)
+
+    some = docs.select("text").sample(fraction=min(1.0, most / max(1, all_["n"])), seed=11)
+    counts = some.mapInArrow(run, "h long, n long")
+    least = share * (counts.agg(F.sum("n")).first()[0] or 0)
+    rows = counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h").collect()  # at most 1 / share
+    return np.sort(np.array([r["h"] for r in rows], np.int64).astype(np.uint64)), int(all_["size"])
+
+
+# --- restaurants ---------------------------------------------------------------------------------------
+def stirling(d: float, most: int) -> np.ndarray:
+    """Logs of the generalised Stirling numbers: the weight of all seatings of c customers at t tables."""
+    s = np.full((most + 1, most + 1), -np.inf)
+    s[1, 1] = 0
+    t = np.arange(1, most + 1)
+    for c in range(1, most):
+        s[c + 1, 1:] = np.logaddexp(s[c, :-1], s[c, 1:] + np.log(np.maximum(c - d * t, 1e-300)))
+    return s
 
 
 def seat(rng, n: np.ndarray, mass: np.ndarray, d: float) -> np.ndarray:
-    """Sampled tables of dishes with n customers; mass is (strength + d * all tables) * parent's probability.
+    """Tables of dishes whose n customers sit down one after the other; mass is (strength + d * all tables) * parent's probability.
 
     The first 48 customers sit down one by one; later ones in groups that double, whose new tables
     are Poisson with the rate of the group's middle.
@@ -213,238 +225,361 @@ def seat(rng, n: np.ndarray, mass: np.ndarray, d: float) -> np.ndarray:
         lo *= 2
 
 
-def discount(n: np.ndarray) -> float:
-    n1, n2 = int((n == 1).sum()), int((n == 2).sum())
-    return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-
-
-class Spelling:
-    """Byte restaurants with sampled seatings."""
-
-    def __init__(self, grams: np.ndarray, customers: np.ndarray, depth: int, samples: int, burn: int, strength: float = 1.0, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.depth, self.strength = depth, strength
-        self.keys = [np.zeros(0, np.uint64)] * (depth + 2)  # by length of gram
-        self.keys[depth + 1] = grams
-        up = [None] * (depth + 2)
-        for k in range(depth, 0, -1):
-            self.keys[k], up[k + 1] = np.unique(self.keys[k + 1] & np.uint64((1 << (8 * k)) - 1), return_inverse=True)
-            up[k + 1] = up[k + 1].astype(np.int32)
-        self.contexts, where = [np.zeros(0, np.uint64)] * (depth + 2), [None] * (depth + 2)
-        for k in range(1, depth + 2):
-            self.contexts[k], where[k] = np.unique(self.keys[k] >> np.uint64(8), return_inverse=True)
-            where[k] = where[k].astype(np.int32)
-        n = [np.zeros(0)] * (depth + 2)
-        n[depth + 1] = customers.astype(np.float64)
-        t: list = [None] * (depth + 2)
-        for k in range(depth + 1, 0, -1):  # at first one table for each dish
-            t[k] = np.ones(len(n[k]))
-            if k > 1:
-                n[k - 1] = np.bincount(up[k], t[k], minlength=len(self.keys[k - 1]))
-        self.d = [0.5, *[discount(x) for x in n[1:]]]
-        self.states = []
-        for sweep in range(burn + samples):
-            p = self._predict(n, t, where, up)
-            for k in range(depth + 1, 0, -1):
-                tables = np.bincount(where[k], t[k], minlength=len(self.contexts[k]))
-                parent = np.full(len(n[k]), 1 / SYMBOLS) if k == 1 else p[k - 1][up[k]]
-                t[k] = seat(rng, n[k], (strength + self.d[k] * tables[where[k]]) * parent, self.d[k])
-                if k > 1:
-                    n[k - 1] = np.bincount(up[k], t[k], minlength=len(self.keys[k - 1]))
-            if sweep >= burn:
-                state = []
-                for k in range(1, depth + 2):
-                    c = np.bincount(where[k], n[k], minlength=len(self.contexts[k]))
-                    tables = np.bincount(where[k], t[k], minlength=len(self.contexts[k]))
-                    state.append(((n[k] - self.d[k] * t[k]) / (strength + c[where[k]]), (strength + self.d[k] * tables) / (strength + c)))
-                self.states.append([(a.astype(np.float32), b.astype(np.float32)) for a, b in state])
-
-    def _predict(self, n, t, where, up):
-        p = [None] * (self.depth + 2)
-        for k in range(1, self.depth + 2):
-            c = np.bincount(where[k], n[k], minlength=len(self.contexts[k]))[where[k]]
-            tables = np.bincount(where[k], t[k], minlength=len(self.contexts[k]))[where[k]]
-            parent = 1 / SYMBOLS if k == 1 else p[k - 1][up[k]]
-            p[k] = (n[k] - self.d[k] * t[k] + (self.strength + self.d[k] * tables) * parent) / (self.strength + c)
-        return p
-
-    def words(self, words: bytes) -> np.ndarray:
-        """Probability of each word, averaged over the sampled seatings."""
-        raw, bounds = spelled(words)
-        out = np.zeros(len(bounds) - 1)
-        found = []
-        for k in range(1, self.depth + 2):
-            g = grams_of(raw, bounds, k)
-            h = g >> np.uint64(8)
-            found.append((*_find(self.keys[k], g), *_find(self.contexts[k], h)))
-        for state in self.states:
-            p = np.full(len(raw), 1 / SYMBOLS)
-            for (own, share), (i, ok, j, known) in zip(state, found, strict=True):
-                if len(share):
-                    p = np.where(known, np.where(ok, own[i], 0) + share[j] * p, p)
-            out += np.exp(np.add.reduceat(np.log(p), bounds[:-1]))
-        return np.maximum(out / max(1, len(self.states)), 1e-300)
-
-
-def _find(keys: np.ndarray, x: np.ndarray):
-    if not len(keys):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return i, keys[i] == x
-
-
-def spelling_counts(table: DataFrame, length: int, classes: int) -> DataFrame:
-    """(gram, n) of the types that occur in training; each type stands for its first table."""
-    target = arrow_schema("gram long, n long")
+def reseat(rng, c: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, log_s: np.ndarray) -> np.ndarray:
+    """New numbers of tables of dishes with c customers, given the other dishes' tables in their restaurants
+    (rest) and the parent's probabilities of the dishes (p)."""
+    t, exact = np.minimum(c, 1).astype(np.float64), len(log_s) - 1
+    for n in np.unique(c[(c > 1) & (c <= exact)]).astype(int).tolist():
+        own = np.flatnonzero(c == n)
+        ways = np.log(STRENGTH + d * (rest[own, None] + np.arange(n))).cumsum(axis=1) + np.log(p[own, None]) * np.arange(1, n + 1) + log_s[n, 1 : n + 1]
+        ways = np.exp(ways - ways.max(axis=1)[:, None]).cumsum(axis=1)
+        t[own] = 1 + (ways < (rng.random(len(own)) * ways[:, -1])[:, None]).sum(axis=1)
+    many = np.flatnonzero(c > exact)
+    if len(many):
+        t[many] = seat(rng, c[many], (STRENGTH + d * (rest[many] + 1)) * p[many], d)
+    return t
+
+
+def discount(n1: float, n2: float) -> float:
+    return float(min(0.95, max(0.1, n1 / (n1 + 2 * n2)))) if n1 + n2 else 0.5
+
+
+# --- buckets ------------------------------------------------------------------------------------------
+def _mails(name: np.ndarray, flag: np.ndarray, values: list[np.ndarray], src: int, buckets: int):
+    """Rows to the buckets of the contexts' names (ascending); flagged names want an answer."""
+    at = np.searchsorted(bucket_of(name, buckets), np.arange(buckets + 1)) if len(name) else np.zeros(buckets + 1, np.int64)
+    for b in np.flatnonzero(np.diff(at)).tolist():
+        own = slice(at[b], at[b + 1])
+        yield MAIL, b, src, blob([steps(name[own]), flag[own], *[v[own] for v in values]]), None
+
+
+def build(asks: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Pairs of each bucket over all chunks: its state, what each chunk asked, and tables by context at the start."""
+    target = arrow_schema(SCHEMA)
+
+    def solve(bucket: int, held: list) -> list:
+        own = [(row["other"], *unblob(row["data"])) for row in held]
+        own = [(k, np.cumsum(w), n, v, c, check) for k, w, n, v, c, check in own]
+        words, word = np.unique(np.concatenate([x[1] for x in own]), return_inverse=True)
+        word = np.repeat(word, np.concatenate([x[2] for x in own]).astype(np.int64))
+        v, c = np.concatenate([x[3] for x in own]), np.concatenate([x[4] for x in own]).astype(np.int64)
+        _, first, of = np.unique(mix64(words[word] ^ mix64(v + np.uint64(1))), return_index=True, return_inverse=True)
+        order = np.lexsort((v[first], word[first]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, of = first[order], place[of]
+        count = np.bincount(of, c, minlength=len(first)).astype(np.int64)
+        w, v = word[first], v[first]
+        known = count > 0
+        active = count > 1
+        code, number = np.minimum(count, 2), np.cumsum(active) - 1
+        # customers of the root, one for each known pair at first; those of pairs with one customer stay
+        fixed = np.bincount(w[count == 1], minlength=len(words))
+        c_w = np.bincount(w, count, minlength=len(words)).astype(np.int64)
+        n_w = np.bincount(w[known], minlength=len(words))
+        cold = ~np.isin(words, hot)
+        x = [c_w.sum(), (c_w[cold] > 0).sum(), (count == 1).sum(), (count == 2).sum(), (n_w[cold] == 1).sum(), (n_w[cold] == 2).sum(), n_w.sum()]
+        name, inverse = np.unique(v[known], return_inverse=True)
+        tables = np.bincount(inverse, minlength=len(name))
+        wanted = np.bincount(inverse, active[known], minlength=len(name)) > 0
+        first_active = np.searchsorted(name[wanted], v[active])
+        out = [(STATE, bucket, None, blob([steps(words), c_w, fixed, name[wanted], w[active], first_active, count[active], np.ones(active.sum(), np.int64)]), [float(z) for z in x])]
+        out += _mails(name, wanted, [tables], bucket, buckets)
+        out += [(HOT, bucket, int(words[k].astype(np.int64)), None, [float(c_w[k]), float(n_w[k])]) for k in np.flatnonzero(~cold & (c_w > 0)).tolist()]
+        i = 0
+        for k, asked, n, _, _, check in own:
+            entries = of[i : (i := i + int(n.sum()))]
+            refs = number[entries[active[entries]]]
+            out.append((ASKED, bucket, k, blob([steps(np.searchsorted(words, asked)), code[entries], _folded(refs), check]), None))
+        return out
+
+    return _by_bucket(asks, solve, target)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Steps between numbers that mostly grow, as small whole numbers."""
+    s = np.diff(x, prepend=0)
+    return np.where(s < 0, -2 * s - 1, 2 * s)
+
+
+def _unfolded(s: np.ndarray) -> np.ndarray:
+    s = s.astype(np.int64)
+    return np.cumsum(np.where(s & 1, -(s + 1) // 2, s // 2))
+
+
+def _by_bucket(rows: DataFrame, solve, target) -> DataFrame:
+    """solve(bucket, its rows) for each bucket, as rows of SCHEMA."""
 
     def run(it):
-        for row in _rows(it):
-            words, pairs, _ = unblob(row["data"])
-            raw, bounds = spelled(words)
-            seen = np.zeros(len(bounds) - 1, bool)
-            seen[np.frombuffer(pairs, "<i8") // classes] = True
-            g = grams_of(raw, bounds, length)[np.repeat(seen, np.diff(bounds))]
-            u, n = np.unique(g, return_counts=True)
-            yield as_batch({"gram": u.astype(np.int64), "n": n}, target)
-
-    return table.select("data").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        now, held = None, []
 
+        def emit():
+            for row in solve(now, held):
+                yield as_batch({c: [v] for c, v in zip(target.names, row, strict=True)}, target)
 
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = 5, samples: int = 2, burn: int = 2, classes: int = 16, window: int = 24, own_strength: float = 500.0, chunk: int = 8 << 20, buckets: int | None = None) -> DataFrame:
+        for row in _rows(it):
+            if row["bucket"] != now:
+                if held:
+                    yield from emit()
+                now, held = row["bucket"], []
+            held.append(row)
+        if held:
+            yield from emit()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "other").mapInArrow(run, SCHEMA)
+
+
+def exchange(mail: DataFrame, totals: DataFrame | None) -> DataFrame:
+    """The tables of each context over all buckets: TOTALS rows, and a MAIL row back to each bucket that asked."""
+    target = arrow_schema(SCHEMA)
+
+    def solve(bucket, held):
+        mails = [(r["other"], *unblob(r["data"])) for r in held if r["kind"] == MAIL]
+        mails = [(src, np.cumsum(n), flag, value.astype(np.float64)) for src, n, flag, value in mails]
+        base = [unblob(r["data"]) for r in held if r["kind"] == TOTALS]
+        known = [np.cumsum(b[0]) for b in base]
+        name, of = np.unique(np.concatenate([*(m[1] for m in mails), *known]), return_inverse=True)
+        sums = np.bincount(of, np.concatenate([*(m[3] for m in mails), *(b[1].astype(np.float64) for b in base)]), minlength=len(name))
+        out = [] if base else [(TOTALS, bucket, None, blob([steps(name), sums.astype(np.int64)]), None)]
+        for src, n, flag, _ in mails:
+            wanted = n[flag > 0]
+            if len(wanted):
+                out.append((MAIL, src, bucket, blob([sums[np.searchsorted(name, wanted)].astype(np.int64)]), None))
+        return out
+
+    return _by_bucket(mail if totals is None else mail.unionByName(totals), solve, target)
+
+
+def sweeps(state: DataFrame, replies: DataFrame, buckets: int, hot: np.ndarray, model: dict, n: int, seed: int) -> DataFrame:
+    """n Gibbs sweeps in each bucket: its new state, tables beyond one by context, root customers of frequent words."""
+    target = arrow_schema(SCHEMA)
+    d1, d0, log_s, log_s0 = model["d1"], model["d0"], stirling(model["d1"], 64), stirling(model["d0"], 64)
+    hot_n, hot_s = model["hot_n"], model["hot_s"]
+
+    def solve(bucket, held):
+        words, c_w, fixed, name, w, v, c, *old = unblob(held[0]["data"])
+        t = old[-1].astype(np.float64)
+        words, w, v, c = np.cumsum(words), w.astype(np.int64), v.astype(np.int64), c.astype(np.int64)
+        tables = np.concatenate([unblob(r["data"])[0] for r in held[1:]]).astype(np.float64) if len(held) > 1 else np.zeros(0)
+        rng = np.random.default_rng([seed, bucket])
+        hot_at = np.searchsorted(hot, words)
+        is_hot = np.isin(words, hot)
+        n_w = fixed + np.bincount(w, t, minlength=len(words))
+        n_w[is_hot] = hot_n[hot_at[is_hot]]
+        s_w = np.minimum(n_w, 1.0)
+        s_w[is_hot] = hot_s[hot_at[is_hot]]
+        base = 1.0 / (model["types"] + 1)
+        total_n, total_s = model["customers"], model["tables"]
+        kept = []
+        for _ in range(n):
+            # dishes take turns in four shares, so that each share sees the tables of the others
+            for part in np.array_split(rng.permutation(len(w)), 4):
+                x, y, z = w[part], v[part], c[part]
+                away = n_w[x] - t[part]
+                p = (np.maximum(away - d0 * np.minimum(s_w[x], away), 0) + (STRENGTH + d0 * total_s) * base) / (STRENGTH + np.maximum(total_n - t[part], 0))
+                new = reseat(rng, z, np.maximum(tables[y] - t[part], 0), p, d1, log_s)
+                change = new - t[part]
+                np.add.at(tables, y, change)
+                np.add.at(n_w, x, change)
+                total_n += change.sum()
+                t[part] = new
+            cold = np.flatnonzero(~is_hot & (n_w > 0))
+            before = s_w[cold].sum()
+            s_w[cold] = reseat(rng, n_w[cold].round().astype(np.int64), total_s - s_w[cold], np.full(len(cold), base), d0, log_s0)
+            total_s += s_w[cold].sum() - before
+            kept.append((t.copy(), n_w.copy(), s_w.copy()))
+        kept = kept[-model["samples"] :]
+        arrays = [steps(words), c_w, fixed, name, w, v, c]
+        arrays += [a.round().astype(np.int64) for k in kept for a in (np.where(is_hot, 0, k[1]), np.where(is_hot, 0, k[2]))] if model["last"] else []
+        arrays += [k[0].astype(np.int64) for k in (kept if model["last"] else kept[-1:])]
+        cold = ~is_hot
+        own = [fixed + np.bincount(w, k[0], minlength=len(words)) for k in kept]
+        x = [z for k, m in zip(kept, own, strict=True) for z in (float(m.sum()), float(k[2][cold].sum()))]
+        out = [(STATE, bucket, None, blob(arrays), x)]
+        extra = [np.bincount(v, k[0] - 1, minlength=len(name)).astype(np.int64) for k in (kept if model["last"] else kept[-1:])]
+        out += _mails(name, np.ones(len(name), np.int64), extra, bucket, buckets)
+        out += [(HOT, bucket, int(words[k].astype(np.int64)), None, [float(m[k]) for m in own]) for k in np.flatnonzero(is_hot & (c_w > 0)).tolist()]
+        return out
+
+    return _by_bucket(state.unionByName(replies), solve, target)
+
+
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = 2, samples: int = 2, chunk: int = 8 << 20, bucket_bytes: int = 16 << 20, hot_share: float = 1 / 2000, hot_sample: int = 4000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     stage = Stage(spark, "lm")
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = stage.write(chunks(docs, buckets, folds, held, chunk, classes), "chunks")
-    words = first.filter("bucket >= 0")
-    table = stage.write(dictionary(words, classes), "dictionary")
-    names = ("n", "v", "n1", "n2")
-    per_class = [F.coalesce(F.sum(F.col(c)[z]), F.lit(0)).alias(f"{c}{z}_") for c in ("by", "kinds") for z in range(classes)]
-    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], *per_class).first()
-    total, types = sums["n"], sums["v"]
-    n_z, k_z = (np.array([sums[f"{c}{z}_"] for z in range(classes)], np.float64) for c in ("by", "kinds"))
-    grams = stage.write(spelling_counts(table, depth + 1, classes), "grams")
-    got = grams.orderBy("gram").toArrow()  # all grams of word types: grows with them
-    keys, customers = (got.column(c).to_numpy().astype(kind) for c, kind in (("gram", np.uint64), ("n", np.float32)))
-    del got
-    model = spark.sparkContext.broadcast(Spelling(keys, customers, depth, samples, burn))
-    d = min(0.95, max(0.1, sums["n1"] / (sums["n1"] + 2 * sums["n2"]))) if sums["n1"] + sums["n2"] else 0.5
-    strength = 1.0
-    schema = "bucket int, data binary, tables array<double>"
-    seated_target = arrow_schema(schema)
-
-    def seat_words(it):
-        for row in _rows(it):
-            own, pairs, counts = unblob(row["data"])
-            pairs, c = np.frombuffer(pairs, "<i8"), np.frombuffer(counts, "<i8")
-            p = model.value.words(own)
-            w, z = pairs // classes, pairs % classes
-            rng = np.random.default_rng(1000 + row["bucket"])
-            guests = np.bincount(w, minlength=len(p))  # at first one table in each class that has the word
-            root = (np.maximum(guests - d * (guests > 0), 0) + (strength + d * types) * p) / (strength + k_z.sum())
-            leaf, top, totals = [], [], []
-            for _ in range(samples):
-                t = seat(rng, c, (strength + d * k_z[z]) * root[w], d)
-                guests = np.bincount(w, t, minlength=len(p))
-                up = seat(rng, guests, (strength + d * types) * p, d)
-                leaf.append(t)
-                top.append(guests - d * up)
-                totals += [guests.sum(), up.sum(), *np.bincount(z, t, minlength=classes)]
-            parts = [own, pairs.tobytes(), counts, p.astype("<f8"), np.array(leaf, "<f4"), np.array(top, "<f4")]
-            yield as_batch({"bucket": [row["bucket"]], "data": [blob([x if isinstance(x, bytes) else x.tobytes() for x in parts])], "tables": [totals]}, seated_target)
-
-    seated = stage.write(table.select("bucket", "data").mapInArrow(seat_words, schema), "seated")
-    stage.drop("dictionary", "grams")
-    size = 2 + classes
-    summed = seated.agg(*[F.coalesce(F.sum(F.col("tables")[s]), F.lit(0.0)).alias(f"t{s}") for s in range(samples * size)]).first()
-    tables = np.array(list(summed), np.float64).reshape(samples, size)
-    share = np.mean([(strength + d * tables[s, 2:]) / (strength + n_z) for s in range(samples)], axis=0)
-    used = np.flatnonzero(n_z) if n_z.any() else np.array([0])
-    answer_target = arrow_schema("chunk long, bucket int, data binary")
+    hot, size = frequent(docs, hot_share, hot_sample)
+    buckets = max(16, -(-size // bucket_bytes))
+
+    def ask(number, c: Chunk, ids, out_of):
+        for b, i, j, asked in c.parts():
+            n = np.bincount(np.searchsorted(asked, c.w[i:j]), minlength=len(asked))
+            yield ASKED, b, number, blob([steps(c.words[asked]), n, names_of(c.words[c.v[i:j]]), c.count[i:j], np.array([c.check])]), None
+
+    ship_package(spark)
+    asks = chunks(docs, ask, SCHEMA, folds, held, chunk, buckets, hot)
+    built = stage.write(build(asks, buckets, hot), "built")
+    of = lambda df, kind: df.filter(F.col("kind") == kind)
+    total, types, n1, n2, r1, r2, customers = _sums(of(built, STATE), 7)
+    hot_c, hot_n = _hot_sums(built, hot, 2).T
+    model = {"d1": discount(n1, n2), "d0": discount(r1 + (hot_n == 1).sum(), r2 + (hot_n == 2).sum()), "types": types + (hot_c > 0).sum(), "samples": samples, "hot_n": hot_n, "hot_s": np.minimum(hot_n, 1.0), "customers": customers}
+    model["tables"] = model["types"]
+    met = stage.write(exchange(of(built, MAIL), None), "met")
+    totals = of(met, TOTALS)
+    state, replies = of(built, STATE), of(met, MAIL)
+    rng = np.random.default_rng(5)
+    log_s0 = stirling(model["d0"], 64)
+    for k in range(rounds):
+        model = model | {"last": k == rounds - 1}
+        swept = stage.write(sweeps(state, replies, buckets, hot, model, samples, 100 + k), f"swept-{k}")
+        sums = np.array(_sums(of(swept, STATE), 2 * samples)).reshape(samples, 2)
+        hot_all = _hot_sums(swept, hot, samples)
+        of_hot = [reseat(rng, m.round().astype(np.int64), model["tables"] - model["hot_s"], np.full(len(m), 1.0 / (model["types"] + 1)), model["d0"], log_s0) for m in hot_all.T]
+        model = model | {"hot_n": hot_all[:, -1], "hot_s": of_hot[-1], "customers": sums[-1, 0], "tables": sums[-1, 1] + of_hot[-1].sum()}
+        state = of(swept, STATE)
+        if not model["last"]:
+            replies = of(stage.write(exchange(of(swept, MAIL), totals), f"met-{k}"), MAIL)
+    customers, tables = sums[:, 0], [sums[s, 1] + of_hot[s].sum() for s in range(samples)]
+    d1, d0, types, trained = model["d1"], model["d0"], model["types"], int(total)
+    floor = 1.0 / (types + 1)
+    answer_schema = "chunk long, bucket long, data binary"
+
+    def root(n, s, k):
+        return (np.maximum(n - d0 * s, 0) + (STRENGTH + d0 * tables[k]) * floor) / (STRENGTH + customers[k])
+
+    def answers(bucket, rows):
+        if rows[0]["kind"] != STATE:
+            return
+        words, c_w, _, _, _, _, c, *rest = unblob(rows[0]["data"])
+        words = np.cumsum(words)
+        at_root, t = rest[: 2 * samples], rest[2 * samples :]
+        sums_ = []
+        mails = [unblob(r["data"]) for r in rows if r["kind"] == MAIL]
+        base = [unblob(r["data"]) for r in rows if r["kind"] == TOTALS]
+        name = np.cumsum(base[0][0]) if base else np.zeros(0, np.uint64)
+        own = np.searchsorted(name, names_of(words))
+        there = own < len(name)
+        there[there] = name[own[there]] == names_of(words)[there]
+        for s in range(samples):
+            more = np.zeros(len(name))
+            for m in mails:
+                more[np.searchsorted(name, np.cumsum(m[0]))] += m[2 + s]
+            of_word = np.zeros(len(words), np.int64)
+            of_word[there] = (more + base[0][1])[own[there]].astype(np.int64) if base else 0
+            sums_.append(of_word)
+        for r in rows:
+            if r["kind"] == ASKED:
+                asked, code, refs, check = unblob(r["data"])
+                asked, refs = np.cumsum(asked).astype(np.int64), _unfolded(refs)
+                columns = [c_w, *at_root, *sums_]
+                parts = [code, *[a[asked] for a in columns], c[refs], *[x[refs] for x in t], check]
+                yield r["other"], bucket, blob(parts)
+
+    target = arrow_schema(answer_schema)
 
     def answer(it):
-        now, book, root, count, extra, begin, z = None, {}, None, None, None, None, None
+        now, held_ = None, []
         for row in _rows(it):
-            own = unblob(row["data"])
-            if row["chunk"] is None:  # the bucket's dictionary comes first
-                now = row["bucket"]
-                book = {w: i for i, w in enumerate(own[0].split(b"\n"))}
-                pairs, c, p = np.frombuffer(own[1], "<i8"), np.frombuffer(own[2], "<i8"), np.frombuffer(own[3], "<f8")
-                leaf, top = (np.frombuffer(own[k], "<f4").reshape(samples, -1).astype(np.float64) for k in (4, 5))
-                w, z = pairs // classes, pairs % classes
-                count = np.bincount(w, c, minlength=len(p)).astype(np.int64)
-                root = np.mean([(np.maximum(top[s], 0) + (strength + d * tables[s, 1]) * p) / (strength + tables[s, 0]) for s in range(samples)], axis=0).astype("<f4")
-                extra = (np.mean([np.maximum(c - d * t, 0) for t in leaf], axis=0) / (strength + n_z[z])).astype("<f4")
-                begin = np.searchsorted(w, np.arange(len(p) + 1))
-                continue
-            assert row["bucket"] == now
-            at = np.array(list(map(book.__getitem__, own[0].split(b"\n"))), np.int64)
-            n = begin[at + 1] - begin[at]
-            take = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            parts = [root[at], count[at], n.astype("<u1"), z[take].astype("<u1"), extra[take]]
-            yield as_batch({"chunk": [row["chunk"]], "bucket": [now], "data": [blob([x.tobytes() for x in parts])]}, answer_target)
-
-    asked = seated.select(F.lit(None).cast("long").alias("chunk"), "bucket", "data").unionByName(words.select("chunk", "bucket", "data"))
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(answer, "chunk long, bucket int, data binary")
-    last = 2147483647
-    texts = first.filter("bucket < 0").select("chunk", F.lit(last).alias("bucket"), "data")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out_target = arrow_schema(schema)
+            if row["bucket"] != now:
+                for out in answers(now, held_) if held_ else ():
+                    yield as_batch({x: [y] for x, y in zip(target.names, out, strict=True)}, target)
+                now, held_ = row["bucket"], []
+            held_.append(row)
+        for out in answers(now, held_) if held_ else ():
+            yield as_batch({x: [y] for x, y in zip(target.names, out, strict=True)}, target)
+
+    last_mail = of(swept, MAIL)
+    everything = reduce(DataFrame.unionByName, [state, of(built, ASKED), last_mail, totals])
+    answered = everything.repartition("bucket").sortWithinPartitions("bucket", "kind", "other").mapInArrow(answer, answer_schema)
+    final = 1 << 40
+
+    def texts(number, ch: Chunk, ids, out_of):
+        nulls = np.array([i is None for i in ids])
+        own = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
+        word = ch.w[ch.pair]
+        parts = [own, nulls, out_of, ch.lengths, word, steps(ch.words)]
+        yield number, final, blob(parts)
+
+    asked_texts = chunks(docs, texts, answer_schema, folds, held, chunk, buckets, hot)
+    out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out_target = arrow_schema(out_schema)
 
     def add_up(it):
-        held_back: list = []
+        held_ = []
         for row in _rows(it):
-            own = unblob(row["data"])
-            if row["bucket"] != last:
-                held_back.append(own)
+            if row["bucket"] != final:
+                held_.append((row["bucket"], unblob(row["data"])))
                 continue
-            joined = [np.concatenate([np.frombuffer(x[k], kind) for x in held_back]) for k, kind in enumerate(("<f4", "<i8", "<u1", "<u1", "<f4"))]
-            held_back = []
-            root, count, n, z, extra = joined
-            by_class = root[:, None].astype(np.float64) * share[used]
-            column = np.full(classes, 0)
-            column[used] = np.arange(len(used))
-            by_class[np.repeat(np.arange(len(n)), n), column[z]] += extra
-            by_class = np.maximum(by_class, 1e-300)
-            ids, nulls, lengths, flat = np.frombuffer(own[0], "<i8"), own[1], np.frombuffer(own[2], "<i8"), np.frombuffer(own[3], "<u4")
-            bounds = np.concatenate([[0], np.cumsum(lengths)])
-            names = [None if x else int(i) for i, x in zip(ids, nulls, strict=True)]
-            base = np.log10((count + 1) / (total + types + 1))
-            prior = np.log(np.maximum(n_z[used], 1) / np.maximum(n_z[used], 1).sum())
-            got = [text_score(by_class, flat[a:b], prior, window, own_strength) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            ids, nulls, out_of, lengths, word, words = unblob(row["data"])
+            words, lengths = np.cumsum(words), lengths.astype(np.int64)
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            flat = words[word.astype(np.int64)]
+            ch = Chunk([flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], out_of > 0, buckets, hot)
+            if any(int(x[-1][0]) != ch.check for _, x in held_):
+                raise ValueError("documents were read in another order the second time; write them to a table first")
+            n = len(words)
+            c_w, at_root, sums_ = np.zeros(n), np.zeros((2 * samples, n)), np.zeros((samples, n))
+            count, t = np.zeros(len(ch.w)), np.zeros((samples, len(ch.w)))
+            got = dict(held_)
+            held_ = []
+            for b, i, j, asked in ch.parts():
+                if b not in got:
+                    continue
+                code, *columns = got[b]
+                mine = ch.home[asked] == b
+                for a, x in zip([c_w, *at_root, *sums_], columns, strict=False):
+                    a[asked[mine]] = x[mine]
+                count[i:j], t[:, i:j] = code, code > 0
+                often = i + np.flatnonzero(code == 2)
+                count[often] = columns[1 + 3 * samples]
+                for s in range(samples):
+                    t[s, often] = columns[2 + 3 * samples + s]
+            is_hot = np.flatnonzero(np.isin(words, hot))
+            of = np.searchsorted(hot, words[is_hot])
+            c_w[is_hot] = hot_c[of]
+            for s in range(samples):
+                at_root[2 * s, is_hot], at_root[2 * s + 1, is_hot] = hot_all[of, s], of_hot[s][of]
+            c_v = c_w.copy()
+            c_v[words == BEGIN] = c_begin
+            p = np.zeros(len(ch.w))
+            for s in range(samples):
+                share = (STRENGTH + d1 * sums_[s]) / (STRENGTH + c_v)
+                p += np.maximum(count - d1 * t[s], 0) / (STRENGTH + c_v[ch.v]) + share[ch.v] * root(at_root[2 * s], at_root[2 * s + 1], s)[ch.w]
+            log_p = np.log10(p / samples)[ch.pair]
+            base = np.log10((c_w + 1) / (trained + types + 1))[ch.w[ch.pair]]
+            known = (c_w > 0)[ch.w[ch.pair]]
             yield as_batch(
                 {
-                    "doc_id": names,
-                    "held_out": [crc_mod(i, folds) == held for i in names],
+                    "doc_id": [None if z else i for i, z in zip(ids.view(np.int64).tolist(), nulls.tolist(), strict=True)],
+                    "held_out": out_of > 0,
                     "n_tokens": lengths,
-                    "n_known": np.add.reduceat((count > 0)[flat].astype(np.int64), bounds[:-1]),
-                    "train_tokens": np.full(len(ids), total, np.int64),
-                    "base_score": np.add.reduceat(base[flat], bounds[:-1]),
-                    "score": got,
+                    "n_known": np.add.reduceat(known.astype(np.int64), ch.first),
+                    "train_tokens": np.full(len(ids), trained, np.int64),
+                    "base_score": np.add.reduceat(base, ch.first),
+                    "score": np.add.reduceat(log_p, ch.first),
                 },
                 out_target,
             )
 
-    return answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(add_up, schema)
-
-
-def text_score(by_class: np.ndarray, words: np.ndarray, prior: np.ndarray, window: int, own_strength: float) -> float:
-    """log10 probability of a text: its own restaurant over classes weighted by the tokens just read."""
-    n, out, past = len(words), 0.0, np.zeros((1, by_class.shape[1]))
-    seen = np.empty(n, np.int64)  # earlier uses in this text
-    order = np.argsort(words, kind="stable")
-    w = words[order]
-    place = np.arange(n)
-    seen[order] = place - np.maximum.accumulate(np.where(np.concatenate([[True], w[1:] != w[:-1]]), place, 0))
-    for lo in range(0, n, 65_536):  # long texts in pieces, to bound memory; the window carries over
-        p = by_class[words[lo : lo + 65_536]]
-        sums = np.concatenate([past, past[-1] + np.cumsum(np.log(p), axis=0)])
-        ahead = len(past) - 1
-        at = np.arange(len(p)) + ahead
-        weight = sums[at] - sums[np.maximum(at - window, 0)] + prior
-        weight = np.exp(weight - weight.max(axis=1)[:, None])
-        mixed = (weight * p).sum(axis=1) / weight.sum(axis=1)
-        i = lo + np.arange(len(p))
-        out += float(np.log10((seen[lo : lo + len(p)] + own_strength * mixed) / (own_strength + i)).sum())
-        past = sums[-window - 1 :] - sums[-1]
+    # each training document has one end, so as many customers sit in the restaurant of the beginning
+    c_begin = float(_count_trained(docs, folds, held))
+    return answered.unionByName(asked_texts).repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(add_up, out_schema)
+
+
+def _count_trained(docs: DataFrame, folds: int, held: int) -> int:
+    from docloom.llm.common import crc_column
+
+    return docs.filter(crc_column(F.col("doc_id"), folds) != held).count()
+
+
+def _sums(rows: DataFrame, n: int) -> list[float]:
+    return list(rows.agg(*[F.coalesce(F.sum(F.col("x")[k]), F.lit(0.0)).alias(f"x{k}") for k in range(n)]).first())
+
+
+def _hot_sums(rows: DataFrame, hot: np.ndarray, n: int) -> np.ndarray:
+    """Sums over all buckets for the frequent words, a row for each."""
+    out = np.zeros((len(hot), n))
+    got = rows.filter(F.col("kind") == HOT).groupBy("other").agg(*[F.sum(F.col("x")[k]) for k in range(n)]).collect()  # frequent words
+    for r in got:
+        out[np.searchsorted(hot, np.int64(r[0]).astype(np.uint64))] = r[1:]
     return out
