@@ -16,7 +16,7 @@ def op1_best_fit_packing(spark, sf_dir):
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("t")
 
 
 def op3_suffix_array_dedup(spark, sf_dir):
