@@ -68,6 +68,17 @@ def test_cached_units_equal_whole_encoding(spark):
     assert [g for g in got] == [r.astype("<u4").tobytes() for r in reference_ids(texts)]
 
 
+def test_small_cache_and_odd_texts():
+    r = random.Random(1)
+    parts = [*"ab.,; \n\té'1—\u00a0\u3000日“\x1c", "<|endoftext|>", "..", "Word", " of"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(6000)]
+    e = tokens.Encoder(tokens.default_path(), 500)  # starts anew many times
+    want = reference_ids(texts)
+    for _ in range(2):
+        for k in range(0, len(texts), 200):
+            assert all((a == b).all() for a, b in zip(e.encode_column(tokens.pa.array(texts[k : k + 200])), want[k : k + 200], strict=True))
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 15, 16, 17, 24, 31, 32])
 def test_bit_packing_round_trip(width):
     r = np.random.default_rng(width)
@@ -153,7 +164,7 @@ def brute_components(rows, k, percent):
     return sets, groups(list(sets), [p for p, n in common.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)])
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3}, {"most": 2, "block": 3}])
+@pytest.mark.parametrize("options", [{}, {"block": 3}, {"block": 20}, {"words_in_block": 500}])
 def test_near_duplicates(spark, words, options):
     r = random.Random(5)
     base = [r.choice(words) for _ in range(120)]
@@ -181,6 +192,23 @@ def test_near_duplicates_query_and_edges(spark, odd):
     assert sorted(r["doc_id"] or 0 for r in neardup.drop_near_duplicates(odd).collect()) == [0, 1, 3, 4, 5, 6]
 
 
+def test_near_duplicates_with_shared_ids(spark, words):
+    a, b = " ".join(words[:40]), " ".join(words[50:90])
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (8, a), (8, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, k=3, percent=85).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (8, 1, False), (8, 1, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs, k=3).collect()) == [(1, a), (5, b)]
+
+
+def test_chains_of_near_duplicates(spark):
+    """A crowd in which neighbours are alike and ends are not, in more blocks than one."""
+    w = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(w[2 * i : 2 * i + 100])) for i in range(150)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, block=10).collect()}
+    assert got == brute_components(rows, 3, 85)[1] and set(got.values()) == {0}
+
+
 def test_components_of_a_path(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, n)] + [(1000, 1001)], "a long, b long").repartition(16)
@@ -233,6 +261,35 @@ def test_passage_query_and_cut(spark, odd):
     assert suffix.remove_repeats(odd.limit(0), 100).count() == 0
 
 
+def test_first_copy_of_equal_rows(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long, 1), (1, long, 2), (1, long, 3), (None, long, 4), (2, "short", 5), (2, "short", 6)]
+    cut = suffix.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, t int"), 40).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in cut) == [(0, long), (2, "short"), (2, "short")]  # null ids come first
+    none = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, t int"), 40, "none").collect()
+    assert [len(r["kept"]) for r in none if r["n_bytes"] > 10] == [0] * 4
+
+
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_hopeful_rows_lose_no_passage(n):
+    r = np.random.default_rng(n)
+    length = 48
+    rows = []
+    for _ in range(n * 20):
+        gram, left, right = b"g" * 20, bytes(r.integers(97, 99, 60).tolist()), bytes(r.integers(97, 99, 60).tolist())
+        if rows and r.random() < 0.6:  # shares some bytes to either side with an earlier row
+            other = rows[r.integers(len(rows))]
+            a, b = int(r.integers(0, 61)), int(r.integers(0, 61))
+            left, right = left[a:] + other[60 - a : 60], other[80 : 80 + b] + right[b:]
+            left = left[-60:]
+        rows.append(left + gram + right)
+    base = np.arange(len(rows) + 1) * 140
+    got = suffix.hopeful(np.frombuffer(b"".join(rows), np.uint8), base, base[:-1] + 60, np.zeros(len(rows), np.int64), length)
+    for i, x in enumerate(rows):
+        if any(x[60 - k : 60 - k + length] == y[60 - k : 60 - k + length] for j, y in enumerate(rows) if j != i for k in range(0, length - 20 + 1)):
+            assert got[i]
+
+
 def test_suffix_ranks():
     r = np.random.default_rng(1)
     raw = r.integers(97, 99, 400).astype(np.uint8)
@@ -378,22 +435,76 @@ def test_lm_base_and_score(spark, odd):
     assert lm.scores(odd.limit(0)).count() == 0
 
 
-def test_lm_depth(spark, odd, monkeypatch):
-    depths, init = [], lm.Spelling.__init__
-    monkeypatch.setattr(lm.Spelling, "__init__", lambda self, grams, n, depth, *rest: depths.append(depth) or init(self, grams, n, depth, *rest))
-    lm.scores(odd)
-    assert depths == [5]
-    monkeypatch.setattr(type(odd), "count", lambda self: 5_000_000)  # many grams
-    lm.scores(odd)
-    assert depths == [5, 5]
+def test_lm_beats_the_base(spark):
+    rows = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    n = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / n > sum(r["base_score"] for r in rows) / n + 0.4
+
+
+def plain_model(texts, held, d1, d0):
+    """P(w | v) where each pair and so each table is there once, and nothing is left to chance."""
+    pairs = {p for t, h in zip(texts, held) if not h for p in zip([None, *t.split(), ""][:-1], [*t.split(), ""])}
+    n = Counter(w for _, w in pairs)
+    types, customers = len(n), sum(n.values())
+    root = lambda w: (n[w] - d0 * (w in n) + (1 + d0 * types) / (types + 1)) / (1 + customers)
+
+    def p(w, v):
+        c = sum(x == v for x, _ in pairs)
+        return (((v, w) in pairs) * (1 - d1) + (1 + d1 * c) * root(w)) / (1 + c)
+
+    assert math.isclose(sum(root(w) for w in n) + root("unknown"), 1)
+    assert all(math.isclose(sum(p(w, v) for w in n) + p("unknown", v), 1) for v in ["a", None, "unknown"])
+    return lambda t: sum(math.log10(p(w, v)) for v, w in zip([None, *t.split(), ""][:-1], [*t.split(), ""]))
 
 
-def test_spelling_sums_to_one():
-    g, n = np.unique(lm.grams_of(*lm.spelled(b"ab\naab\nabc\nb"), 3), return_counts=True)
-    s = lm.Spelling(g, n, 2, 2, 1)
-    words = [b"".join(bytes([x]) for x in w) for k in range(0, 3) for w in __import__("itertools").product(b"abc", repeat=k)]
-    p = s.words(b"\n".join(words))
-    assert 0.3 < p.sum() < 1 and p[words.index(b"b")] > p[words.index(b"c")]
+def test_lm_equals_the_formula_where_seating_is_certain(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:1] + [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:6]
+    texts = ["A b c d e f g", "a b c", "b a", "x", "g", "", "f x y g"]
+    held = [False] + [True] * 6
+    got = {r["doc_id"]: r["score"] for r in lm.scores(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    want = plain_model([t.lower() for t in texts], held, lm.discount(8, 0), lm.discount(8, 0))
+    for i, t in zip(ids, texts):
+        assert math.isclose(got[i], want(t.lower()), rel_tol=1e-9)
+
+
+def test_lm_does_not_depend_on_chunks_or_frequent_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    runs = [{r["doc_id"]: r for r in lm.scores(docs, **o).collect()} for o in ({}, {"chunk": 20_000}, {"hot_share": 1.0}, {"bucket_bytes": 4000})]
+    for other in runs[1:]:
+        for i, r in runs[0].items():
+            x = other[i]
+            assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"]) and math.isclose(x["base_score"], r["base_score"], rel_tol=1e-9)
+            assert abs(x["score"] - r["score"]) < 0.02 * abs(r["score"]) + 0.5  # other draws
+
+
+def test_reseating_follows_the_seatings():
+    """Shares of drawn numbers of tables against the sum over all seatings, customer by customer."""
+    d, rest, p = 0.6, 2.0, 0.3
+    for c in (2, 3, 5):
+        weight = Counter()
+
+        def sit(sizes, w, left):
+            if not left:
+                weight[len(sizes)] += w
+                return
+            for k in range(len(sizes)):
+                sit([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], w * (sizes[k] - d), left - 1)
+            sit([*sizes, 1], w * (lm.STRENGTH + d * (rest + len(sizes))) * p, left - 1)
+
+        sit([], 1.0, c)
+        n = 40_000
+        t = lm.reseat(np.random.default_rng(c), np.full(n, c), np.full(n, rest), np.full(n, p), d, lm.stirling(d, 64))
+        for k, w in weight.items():
+            assert abs((t == k).mean() - w / sum(weight.values())) < 0.01
+    many = lm.reseat(np.random.default_rng(1), np.array([0, 1, 500, 10_000]), np.full(4, 50.0), np.full(4, 0.3), d, lm.stirling(d, 64))
+    assert many[0] == 0 and many[1] == 1 and 1 < many[2] <= 500 and many[2] < many[3] <= 10_000
+
+
+def test_lm_columns_round_trip():
+    x = [np.array([], np.int64), np.array([0, 1, 300]), np.array([2**64 - 1, 5], np.uint64), np.array([True, False])]
+    assert all((a == b).all() for a, b in zip(x, lm.unblob(lm.blob(x)), strict=True))
+    r = np.array([5, 9, 9, 3, 100, 0])
+    assert (lm._unfolded(lm._folded(r).astype(np.uint64)) == r).all()
 
 
 # --- vectors ---------------------------------------------------------------------------------------
@@ -404,7 +515,7 @@ def test_vectors(spark):
     x += x[:20] + [[2 * v for v in x[0]], [0.0] * 16, None, [float("nan")] * 16, [1.0] * 3, [None] * 16, [float("inf")] * 16]
     rows = [(k, v, None if k == 40 else k % 2) for k, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {v["vec_id"]: v for v in vectors.near_duplicates(df, 0.93, pivots=5, block=16).collect()}
+    got = {v["vec_id"]: v for v in vectors.near_duplicates(df, 0.93, pivots=5, block=16, cell=20).collect()}
     ok = {k: np.array(v, np.float32).astype(float) for k, v, y in rows if v is not None and y is not None and None not in v and np.isfinite(v).all() and np.any(v)}
     unit = {k: v / np.linalg.norm(v) for k, v in ok.items()}
     linked = [(a, b) for a in ok for b in ok if a < b and rows[a][2] == rows[b][2] and len(ok[a]) == len(ok[b]) and unit[a] @ unit[b] >= 0.93]
@@ -414,6 +525,28 @@ def test_vectors(spark):
     assert len(got) == len(rows) and vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_edges(spark):
+    rows = [
+        (1, [1.0, 0.0], "a"), (2, [1e200, 1e198], "a"), (3, [1e-200, 0.0], "a"), (4, [1.0, 0.0], "b"),
+        (5, [0.0, 1.0], "a"), (5, [1.0, 1.0], "a"), (6, [-1.0, 1.0], "a"), (7, [0.0, 3.0], "a"), (7, [0.0, 3.0], "a"),
+    ]
+    got = Counter((v["vec_id"], v["n_links"], v["component_id"], v["kept"]) for v in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == Counter([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 2, 5, True), (5, 0, 5, True), (6, 0, 6, True), (7, 2, 5, False), (7, 2, 5, False)])
+    labels = [(1, [1.0, 0.0], 0.2), (2, [1.0, 0.0], 0.7), (3, [1.0, 0.1], 0.2)]
+    got = {v["vec_id"]: v["component_id"] for v in vectors.near_duplicates(spark.createDataFrame(labels, "vec_id long, embedding array<float>, label double")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("dim,spread", [(2, 0.3), (3, 0.05), (16, 0.1), (64, 1.0)])
+def test_cells_hold_every_partner(dim, spread):
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(8, dim))[r.integers(0, 8, 600)] + spread * r.normal(size=(600, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    home, there = vectors.cells_of(x, vectors.choose_pivots(x[:100].tolist(), 12)[dim], float(np.sqrt(2 - 2 * 0.93)))
+    i, j = np.nonzero(x @ x.T >= 0.93)
+    assert there[i, home[j]].all()
+
+
 # --- pipeline --------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
