@@ -85,8 +85,9 @@ def set_status(docs: DataFrame, changes: DataFrame, now) -> DataFrame:
                 "processing_completed_at": F.when(ends, F.lit(now)).otherwise(F.col("processing_completed_at")),
             }.get(k, F.col(k)).alias(k)
             for k in docs.columns
+            if k != "error_log"
         ],
-        F.nullif("_error", F.lit("")).alias("error_log"),
+        F.coalesce(F.nullif("_error", F.lit("")), F.col("error_log") if "error_log" in docs.columns else F.lit(None)).alias("error_log"),
     )
 
 
@@ -134,4 +135,6 @@ def reprocess(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def duplicate_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Groups of equal text (case and white space aside) of more than one row."""
     norm = F.regexp_replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+", " ")
-    return rows.groupBy(norm.alias("norm")).agg(F.count("*").alias("n"), F.min(key).alias("first_id")).filter("n > 1")
+    groups = rows.select(F.col(key).alias("_key"), F.sha2(norm, 256).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("n"), F.min("_key").alias("first_id"))
+    groups = groups.filter("n > 1")  # digests are shuffled, and then the text of one row of each group alone
+    return rows.select(F.col(key).alias("first_id"), norm.alias("norm")).join(groups, "first_id").filter(F.sha2("norm", 256).eqNullSafe(F.col("_digest"))).dropDuplicates(["first_id", "_digest"]).select("norm", "n", "first_id")

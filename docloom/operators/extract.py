@@ -20,6 +20,11 @@ FIELDS = {
     "identity": "card_type issuer_name member_name member_id group_number effective_date plan_type copay_pcp copay_specialist copay_er copay_urgent_care copay_rx deductible_individual deductible_family out_of_pocket_individual out_of_pocket_family coinsurance_in_network coinsurance_out_of_network rx_bin rx_pcn rx_group".split(),
     "unknown": "title date key_entities amounts summary".split(),
 }
+# Fields that hold numbers, lists of texts and lists of objects; all others hold text.
+NUMBERS = frozenset("subtotal tax_amount total_amount tax total opening_balance closing_balance total_deposits total_withdrawals".split())
+TEXT_LISTS = frozenset("diagnosis procedures parties key_terms key_entities".split())
+OBJECT_LISTS = frozenset("line_items items medications transactions".split())
+NUMBER_LISTS = frozenset({"amounts"})
 INVOICE = {
     "invoice_number": r"(?i)(?:Invoice\s*(?:#|No\.?)|Inv\.?)\s*:?\s*([A-Za-z0-9-]+)",
     "invoice_date": r"(?i)(?:Date|Invoice Date)\s*:?\s*(\w+\s+\d{1,2},?\s*\d{4}|\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})",
@@ -97,13 +102,63 @@ def repaired_json(answer: str) -> dict:
         return json.loads(re.sub(r",\s*([}\]])", r"\1", text.replace("'", '"')))
 
 
+def prompt(document_type: str, text: str) -> str:
+    """What a language model is asked: the type, its fields and what they hold, and the first characters of the text."""
+    kind = document_type if document_type in FIELDS else "unknown"
+    holds = lambda f: "number" if f in NUMBERS else "list of numbers" if f in NUMBER_LISTS else "list of texts" if f in TEXT_LISTS else "list of objects" if f in OBJECT_LISTS else "text"
+    fields = "\n".join(f"- {f} ({holds(f)})" for f in FIELDS[kind])
+    about = "a document" if kind == "unknown" else f"a document of type {kind}"
+    return f"Below is the recognised text of {about}. Answer with one JSON object and nothing else, null where the text does not say, with these fields:\n{fields}\n\nText:\n{text[:MAX_CHARS]}"
+
+
+def _typed(field: str, value):
+    """The value as its field holds it; raises where it does not fit."""
+    if value is None:
+        return None
+    if field in NUMBERS:
+        if isinstance(value, bool | int | float | str):
+            return float(value)
+    elif field in NUMBER_LISTS:
+        if isinstance(value, list):
+            return [float(v) for v in value]
+    elif field in TEXT_LISTS or field in OBJECT_LISTS:
+        kind = str if field in TEXT_LISTS else dict
+        if isinstance(value, list) and all(isinstance(v, kind) for v in value):
+            return value
+    elif isinstance(value, str):
+        return value
+    raise ValueError(field)
+
+
 def conformed(values: dict, document_type: str) -> dict:
-    """Known fields only, null where missing."""
-    return {f: values.get(f) for f in FIELDS.get(document_type, FIELDS["unknown"])}
+    """Known fields only, null where missing: typed if all values fit their fields, else all as they were given."""
+    raw = {f: values.get(f) for f in FIELDS.get(document_type, FIELDS["unknown"])}
+    try:
+        return {f: _typed(f, v) for f, v in raw.items()}
+    except (ValueError, TypeError):
+        return raw
+
+
+def by_patterns(text: str, document_type: str) -> dict:
+    """What the patterns find, for rows that a language model did not answer; null fields for types without patterns."""
+    got: dict = {}
+    if document_type == "invoice":
+        got = {f: m[1] for f, p in INVOICE.items() if (m := re.search(p, text))}
+        if "total_amount" in got:
+            got["total_amount"] = float(got["total_amount"].replace(",", ""))
+    elif document_type == "identity":
+        for f, (patterns, shape) in IDENTITY.items():
+            m = next((m for p in patterns if (m := re.search(p, text))), None)
+            if m:
+                got[f] = re.sub(r"\{(\d)\}", lambda g, m=m: m[int(g[1])], shape).strip()
+        kind = next((name for name, p in CARD_TYPES if re.search(p, text)), None)
+        got |= {"card_type": kind} if kind else {}
+    return {f: got.get(f) for f in FIELDS.get(document_type, FIELDS["unknown"])}
 
 
 def extract(docs: DataFrame, key: str, text: str, document_type: str, generate: Callable[[str], str]) -> DataFrame:
-    """(key, data as JSON, confidence) from an injected generator; answers beyond repair give no fields."""
+    """(key, data as JSON, confidence) from an injected generator, which is given the prompt. Where it fails, or
+    its answer is beyond repair, the patterns decide; a blank text has no fields."""
 
     def run(it):
         for pdf in it:
@@ -112,9 +167,9 @@ def extract(docs: DataFrame, key: str, text: str, document_type: str, generate:
                 got = {}
                 if t and t.strip():
                     try:
-                        got = conformed(repaired_json(generate(t[:MAX_CHARS])), kind)
-                    except (ValueError, AttributeError):
-                        got = {}
+                        got = conformed(repaired_json(generate(prompt(kind, t))), kind)
+                    except Exception:  # noqa: BLE001  whatever a client raises
+                        got = by_patterns(t, kind)
                 data.append(json.dumps(got))
                 rate.append(sum(v is not None for v in got.values()) / len(got) if got else 0.0)
             yield pd.DataFrame({"key": pdf["key"], "data": data, "confidence": rate})

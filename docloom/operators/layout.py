@@ -6,12 +6,11 @@ aggregates by document.
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Cell of a vote, height of a row, width of an indent, all in pixels.
 CELL, ROW, INDENT = 30, 15, 40
 
 
@@ -42,23 +41,24 @@ def dedupe(boxes: DataFrame, cell: int = 20) -> DataFrame:
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc").orderBy(F.floor(cy() / ROW), cx(), "seq")
+    w = Window.partitionBy("doc").orderBy((cy() / ROW).cast("long"), cx(), "seq")
     return boxes.withColumn("pos", F.row_number().over(w).cast("long"))
 
 
 def lines(boxes: DataFrame) -> DataFrame:
-    """line (from 0): a new one where the centre is further from the one before than the tolerance."""
+    """pos (place in reading order, from 1) and line (from 0): boxes follow each other in reading order, and a
+    new line begins where a centre is further from the one before than the tolerance."""
     by = Window.partitionBy("doc")
-    order = by.orderBy("_cy", "_cx", "seq")
-    out = boxes.withColumns({"_cx": cx(), "_cy": cy(), "_tol": F.greatest(F.lit(15.0), F.avg("h").over(by) * 0.5)})
+    order = by.orderBy("pos")
+    out = reading_order(boxes).withColumns({"_cy": cy(), "_tol": F.greatest(F.lit(float(ROW)), F.avg(F.abs("h")).over(by) * 0.5)})
     jump = F.coalesce((F.abs(F.col("_cy") - F.lag("_cy").over(order)) > F.col("_tol")).cast("int"), F.lit(0))
     out = out.withColumn("_jump", jump)
-    return out.withColumn("line", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_cx", "_cy", "_tol", "_jump")
+    return out.withColumn("line", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_cy", "_tol", "_jump")
 
 
 def layout_text(boxes: DataFrame) -> DataFrame:
     """(doc, text): lines with indents of two blanks for each 40 pixels, and blank lines at wide gaps."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(F.col("x"), F.col("seq"), F.col("text")))), lambda s: s["text"])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
     ls = lines(boxes).groupBy("doc", "line").agg(F.array_join(parts, " ").alias("text"), F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("y") + F.col("h")).alias("bottom"))
     w = Window.partitionBy("doc").orderBy("line")
     first = F.first("left").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -82,6 +82,7 @@ def machine_readable_lines(lines_: Column, document_type: Column) -> Column:
     return F.when(known & (F.size(long) >= 2), F.array_join(F.slice(long, 1, 2), "\n"))
 
 
+# Fixed values in what follows: areas, confidences and shares.
 def is_watermark(width: float, height: float) -> Column:
     c, n = F.col("confidence"), F.length("text")
     central = (F.abs(cx() - width / 2) / (width / 2) < 0.3) & (F.abs(cy() - height / 2) / (height / 2) < 0.3)
@@ -106,47 +107,77 @@ def equation_candidates(boxes: DataFrame) -> DataFrame:
     return boxes.filter("w > 200 AND w < 800 AND h > 20 AND h < 150").withColumn("pos", F.row_number().over(w).cast("long"))
 
 
-def _suppressed(rows: list[tuple]) -> list[tuple]:
-    """Kept rows of one document, as (confidence, seq, text, x, y, w, h, number)."""
+def _alike(a: str, b: str) -> bool:
+    """Is the edit ratio of two trimmed, lower-cased texts over 0.9; with an empty one it is not."""
+    n = max(len(a), len(b))
+    if not a or not b or 10 * abs(len(a) - len(b)) >= n:
+        return False
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        corner, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (c != d))
+    return 10 * row[-1] < n
+
+
+def _suppressed(rows: list[tuple]) -> list[int]:
+    """Numbers of the kept rows of one document, given as (confidence, seq, text, x, y, w, h, number)."""
     kept: list[tuple] = []
-    for r in sorted(rows, key=lambda r: (-r[0], r[1])):
-        _, _, text, x, y, w, h, _ = r
-        size = w * h
-        if size <= 0:
+    out = []
+    for _, _, text, x, y, w, h, number in sorted(rows, key=lambda r: (-r[0], r[1])):
+        size, t = w * h, text.strip().lower()
+        if size <= 0 or not text:
             continue
-        for _, _, t2, x2, y2, w2, h2, _ in kept:
+        mx, my = x + w / 2, y + h / 2
+        for t2, x2, y2, w2, h2, size2, mx2, my2 in kept:
             inter = max(0.0, min(x + w, x2 + w2) - max(x, x2)) * max(0.0, min(y + h, y2 + h2) - max(y, y2))
-            iou = inter / (size + w2 * h2 - inter)
-            if iou > 0.20 or inter / (w2 * h2) > 0.80 or inter / size > 0.80:
+            iou = inter / (size + size2 - inter)
+            if iou > 0.20 or inter / size2 > 0.80 or inter / size > 0.80:
                 break
-            apart = ((x + w / 2 - x2 - w2 / 2) ** 2 + (y + h / 2 - y2 - h2 / 2) ** 2) ** 0.5
-            if (apart < 50 or iou > 0.01) and difflib.SequenceMatcher(None, text.lower(), t2.lower()).ratio() > 0.90:
+            if ((mx - mx2) ** 2 + (my - my2) ** 2 < 2500 or iou > 0.01) and _alike(t, t2):
                 break
         else:
-            kept.append(r)
-    return kept
+            kept.append((t, x, y, w, h, size, mx, my))
+            out.append(number)
+    return out
 
 
 def suppress(boxes: DataFrame) -> DataFrame:
-    """Greedy suppression by confidence. It depends on order, so a document is one unit of work; documents
-    lie side by side in their partition and are read as a stream, many to a batch."""
+    """Greedy suppression by confidence (null: 0). Boxes without text or area go. It depends on order, so a
+    document is one unit of work; documents lie side by side in their partition and are read as a stream."""
 
     def run(it):
-        rest = None
+        rest: list[pd.DataFrame] = []  # the last document may go on in the next batch
         for pdf in it:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            cut = pdf["doc"].ne(pdf["doc"].iloc[-1])
-            rest = pdf[~cut].reset_index(drop=True)  # the last document may go on in the next batch
-            yield _of_batch(pdf[cut].reset_index(drop=True))
-        if rest is not None:
-            yield _of_batch(rest)
+            if not len(pdf):
+                continue
+            key = pdf["doc"].astype(object).where(pdf["doc"].notna(), None)
+            last = key.iloc[-1]
+            mine = key.isna() if last is None else key == last
+            if rest and _first(rest[0]) != _first(pdf):
+                yield _of_batch(pd.concat(rest, ignore_index=True))
+                rest = []
+            if mine.all():
+                rest.append(pdf)
+                continue
+            yield _of_batch(pd.concat([*rest, pdf[~mine]], ignore_index=True))
+            rest = [pdf[mine]]
+        if rest:
+            yield _of_batch(pd.concat(rest, ignore_index=True))
 
     return boxes.repartition("doc").sortWithinPartitions("doc").mapInPandas(run, boxes.schema)
 
 
+def _first(pdf: pd.DataFrame):
+    doc = pdf["doc"].iloc[0]
+    return None if pd.isna(doc) else doc
+
+
 def _of_batch(pdf: pd.DataFrame) -> pd.DataFrame:
     by: dict = {}
-    columns = [pdf[c].tolist() for c in ("confidence", "seq", "text", "x", "y", "w", "h")]
-    for k, (doc, *row) in enumerate(zip(pdf["doc"].tolist(), *columns, strict=True)):
-        by.setdefault(doc, []).append((*row, k))
-    return pdf.iloc[sorted(r[-1] for rows in by.values() for r in _suppressed(rows))]
+    docs = pdf["doc"].astype(object).where(pdf["doc"].notna(), None).tolist()
+    confidence, text = pdf["confidence"].fillna(0).tolist(), pdf["text"].fillna("").tolist()
+    columns = [pdf[c].tolist() for c in ("seq", "x", "y", "w", "h")]
+    for k, (doc, c, t, seq, *place) in enumerate(zip(docs, confidence, text, *columns, strict=True)):
+        by.setdefault(doc, []).append((c, seq, t, *place, k))
+    return pdf.iloc[sorted(k for rows in by.values() for k in _suppressed(rows))]

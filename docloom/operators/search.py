@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.stem import STOP_WORDS, stem, stems
 from docloom.functions.text import TOKEN, clean_word, tokens
 from docloom.operators.documents import check_page
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, lexeme, positions), positions from 1: the inverted index, to be written sorted by lexeme."""
-    exploded = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "lexeme"))
-    return exploded.groupBy(key, "lexeme").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    """(key, lexeme, positions), positions from 1: the inverted index, to be written sorted by lexeme.
+
+    A document is one row, so its words are sorted and cut where they change within the row: no shuffle.
+    """
+    words = tokens(F.col(text))
+    w = docs.select(F.col(key), words.alias("_w")).filter(F.size("_w") > 0)
+    s = w.select(key, F.array_sort(F.transform("_w", lambda x, i: F.struct(x.alias("w"), (i + 1).alias("p")))).alias("_s"))
+    s = s.select(key, "_s", F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.get("_s", i - 1)["w"] != F.get("_s", i - 2)["w"])).alias("_at"))
+    end = lambda i: F.coalesce(F.get("_at", i + 1), F.size("_s") + 1)
+    cut = F.transform("_at", lambda a, i: F.struct(F.get("_s", a - 1)["w"].alias("lexeme"), F.transform(F.slice("_s", a, end(i) - a), lambda x: x["p"]).alias("positions")))
+    return s.select(key, F.explode(cut).alias("_e")).select(key, "_e.lexeme", "_e.positions")
 
 
 def words_of(q: str) -> list[str]:
@@ -21,22 +32,38 @@ def words_of(q: str) -> list[str]:
     return sorted(set(regex.findall(TOKEN, q.lower())))
 
 
-def search(docs: DataFrame, q: str, key: str, text: str, page: int = 1, page_size: int = 20, total: bool = False) -> DataFrame:
-    """Documents that hold every word of q, by frequency of its words; a blank q finds nothing.
+def lexemes_of(q: str) -> list[str]:
+    """The stems that a document must hold to answer q: stop words ask for nothing."""
+    return sorted({stem(w) for w in words_of(q) if w not in STOP_WORDS})
+
 
-    One scan: words are literals, so the match is a filter and the page a bounded top-k.
+def search(docs: DataFrame, q: str, key: str, text: str, page: int = 1, page_size: int = 20, total: bool = False, only: Column | None = None) -> DataFrame:
+    """Documents that hold every lexeme of q, by frequency of its lexemes; a q of stop words finds nothing.
+
+    `only` restricts documents by type, status, date or whatever they have. Words can share a stem only if they
+    share its first letters but the last two, so a scan looks at these alone; the words found are stemmed once
+    each, and documents are ranked by counts that were added up before they were shuffled.
     """
     check_page(page, page_size)
-    wanted = words_of(q)
+    wanted = lexemes_of(q)
     if not wanted:
-        return docs.select(key, F.lit(0).alias("rank")).limit(0)
-    t = tokens(F.col(text))
-    lit = F.array(*map(F.lit, wanted))
-    rows = docs.withColumn("_t", t).filter(F.forall(lit, lambda w: F.array_contains("_t", w)))
+        return docs.select(F.lit(0).cast("long").alias("total")).limit(0).agg(F.count("*").alias("total")) if total else docs.select(key, F.lit(0).alias("rank")).limit(0)
+    rows = docs if only is None else docs.filter(only)
+    likely = "|".join(sorted({re.escape(w[: max(1, len(w) - 2)]) for w in wanted}))
+    hits = rows.select(F.col(key).alias("_key"), F.explode(F.filter(tokens(F.col(text)), lambda w: w.rlike(f"^(?:{likely})") & ~w.isin(*sorted(STOP_WORDS)))).alias("_w"))
+    hits = hits.groupBy("_key", "_w").agg(F.count("*").alias("_n")).withColumn("_l", stems(F.col("_w"))).filter(F.col("_l").isin(wanted))
+    found = hits.groupBy("_key").agg(F.sum("_n").alias("rank"), F.countDistinct("_l").alias("_k")).filter(F.col("_k") == len(wanted))
     if total:
-        return rows.agg(F.count("*").alias("total"))
-    rank = F.size(F.filter("_t", lambda w: F.array_contains(lit, w)))
-    return rows.select(key, rank.alias("rank")).orderBy(F.desc("rank"), key).offset((page - 1) * page_size).limit(page_size)
+        return found.agg(F.count("*").alias("total"))
+    return found.select(F.col("_key").alias(key), "rank").orderBy(F.desc("rank"), key).offset((page - 1) * page_size).limit(page_size)
+
+
+def search_postings(index: DataFrame, q: str, key: str, page: int = 1, page_size: int = 20) -> DataFrame:
+    """The same over a written index (key, lexeme, positions) of `stem.lexemes`: only the rows of q's lexemes are read."""
+    check_page(page, page_size)
+    wanted = lexemes_of(q)
+    hits = index.filter(F.col("lexeme").isin(wanted)).groupBy(key).agg(F.sum(F.size("positions")).alias("rank"), F.countDistinct("lexeme").alias("_k"))
+    return hits.filter((F.col("_k") == len(wanted)) & F.lit(bool(wanted))).select(key, "rank").orderBy(F.desc("rank"), key).offset((page - 1) * page_size).limit(page_size)
 
 
 def snippet(text: Column, q: str, words: int = 20) -> Column:

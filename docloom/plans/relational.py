@@ -279,12 +279,12 @@ def w1(spark, sf_dir):
 
 @query(
     "W2_upsert_metadata",
-    """WITH n AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 2 = 0)
+    """WITH n AS (SELECT doc_id, quality, toxic FROM labels)
     SELECT doc_id, 0 AS quality, 0 AS toxic FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, quality, toxic FROM n""",
 )
 def w2(spark, sf_dir):
     base = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
-    new = table(spark, sf_dir, "labels").filter("doc_id % 2 = 0").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     return D.upsert(base, new, "doc_id")
 
 
@@ -333,7 +333,8 @@ def w7(spark, sf_dir):
 def w8(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     left = D.deleted({"o": o, "l": li}, {"o": "o_orderkey", "l": "l_orderkey"}, o.filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id")))
-    return left["o"].agg(F.count("*").alias("docs")).crossJoin(left["l"].agg(F.count("*").alias("rows_left")))  # one row each
+    both = left["o"].agg(F.count("*").alias("docs"), F.lit(0).alias("rows_left")).unionByName(left["l"].agg(F.lit(0).alias("docs"), F.count("*").alias("rows_left")))
+    return both.agg(F.sum("docs").alias("docs"), F.sum("rows_left").alias("rows_left"))
 
 
 @query("W9_reprocess", WITH + "SELECT id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, retry_count + CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS retry_count FROM d")

@@ -33,17 +33,42 @@ def b1(spark, sf_dir):
     return p.select("doc_id", "lexeme", F.size("positions").cast("long").alias("n"), F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
 
 
-MATCH = f"list_contains({TOKENS}, 'the') AND list_contains({TOKENS}, 'and')"
+# The terms of the queries below after stemming, and the words of which SQL knows that they have these stems.
+ENDINGS = "(s|ed|ing|ings|e|es)?"
+WANTED = {"that nations": [f"nation{ENDINGS}"], "the thing and tion": [f"thing{ENDINGS}", f"tion{ENDINGS}"]}
+FOUND = lambda p: f"list_filter({TOKENS}, lambda w: regexp_full_match(w, '{p}'))"
+HOLDS = lambda ps: " AND ".join(f"len({FOUND(p)}) > 0" for p in ps)
+COUNTED = lambda ps: " + ".join(f"len({FOUND(p)})" for p in ps)
 
 
-@query("B2_search", f"SELECT doc_id, CAST(len(list_filter({TOKENS}, lambda w: w = 'the' OR w = 'and')) AS BIGINT) AS rank FROM documents WHERE {MATCH} ORDER BY rank DESC, doc_id LIMIT 20")
+def _search_sql(q: str) -> str:
+    return f"SELECT doc_id, CAST({COUNTED(WANTED[q])} AS BIGINT) AS rank FROM documents WHERE {HOLDS(WANTED[q])} ORDER BY rank DESC, doc_id LIMIT 20"
+
+
+@query("B2_search", _search_sql("that nations"))
 def b2(spark, sf_dir):
-    return S.search(documents(spark, sf_dir), "The and", "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
+    return S.search(documents(spark, sf_dir), "That nations", "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
+
 
+@query("B2_search_words", _search_sql("the thing and tion"))
+def b2_words(spark, sf_dir):
+    return S.search(documents(spark, sf_dir), "the THING and Tion", "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
 
-@query("B2_search_total", f"SELECT count(*) AS total FROM documents WHERE {MATCH}")
+
+@query("B2_search_total", f"SELECT count(*) AS total FROM documents WHERE {HOLDS(WANTED['the thing and tion'])}")
 def b2_total(spark, sf_dir):
-    return S.search(documents(spark, sf_dir), "The and", "doc_id", "text", total=True)
+    return S.search(documents(spark, sf_dir), "the thing and tion", "doc_id", "text", total=True)
+
+
+@query("B2_search_filtered", f"SELECT doc_id, CAST({COUNTED(WANTED['that nations'])} AS BIGINT) AS rank FROM documents WHERE lang = 'en' AND n_chars BETWEEN 200 AND 20000 AND {HOLDS(WANTED['that nations'])} ORDER BY rank DESC, doc_id LIMIT 20 OFFSET 20")
+def b2_filtered(spark, sf_dir):
+    only = (F.col("lang") == "en") & F.col("n_chars").between(200, 20000)
+    return S.search(documents(spark, sf_dir), "that nations", "doc_id", "text", page=2, only=only).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("B2_stop_words", "SELECT doc_id, CAST(0 AS BIGINT) AS rank FROM documents WHERE false")
+def b2_stop(spark, sf_dir):
+    return S.search(documents(spark, sf_dir), "The and", "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("B2a_rank_single", f"SELECT doc_id, round(0.1 * list_sum(list_transform(range(1, len(list_filter({TOKENS}, lambda w: w = 'the')) + 1), lambda j: 1.0 / (j * j))) / 1.64493406685, 9) AS rank FROM documents WHERE list_contains({TOKENS}, 'the')")
@@ -81,9 +106,13 @@ def t_sound(spark, sf_dir):
     return w.select("w", T.sound_code(F.col("w")).alias("code"))
 
 
-@query("T_edit_ratio", "SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)) AS rate FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id WHERE length(a.text) = strlen(a.text) AND length(b.text) = strlen(b.text)")
+# the SQL engine counts edits of bytes, so letters of two bytes stand for unused ones of one
+_ONE = lambda c: f"translate({c}, 'ÄÇÈÉÊÑÖÜßäçèéêíñóöüàâîôûùáúë', '{''.join(chr(k) for k in (*range(1, 9), 11, 12, *range(14, 32)))}')"
+
+
+@query("T_edit_ratio", f"SELECT a.item_id AS a, b.item_id AS b, levenshtein({_ONE('a.text')}, {_ONE('b.text')}) * 1.0 / greatest(length(a.text), length(b.text)) AS rate FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id")
 def t_ratio(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").filter("length(text) = octet_length(text)")
+    b = table(spark, sf_dir, "benchmark")
     pairs = b.alias("a").join(b.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id"))
     return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), (F.levenshtein("a.text", "b.text") / F.greatest(F.length("a.text"), F.length("b.text"))).alias("rate"))
 
@@ -139,10 +168,10 @@ def c9(spark, sf_dir):
     return forms(spark, sf_dir).select("id", *[C.position_score(F.lower("text"), t).alias(t) for t in C.KEYWORDS])
 
 
-@query("C12_calibration", "SELECT event_id, round(CASE WHEN value / 10 > 8 THEN 1.0 ELSE 1 / (1 + exp(-10 * (0.5 * 0.4 + 0.5 * least(value / 10 / 6, 1) - 0.5))) END, 9) AS confidence FROM events WHERE value IS NOT NULL")
+@query("C12_calibration", "SELECT event_id, round(CASE WHEN value / 10 > 8 THEN 1.0 ELSE 1 / (1 + exp(-10 * (0.5 * 0.4 + 0.5 * least(value / 10 / 6, 1) - 0.5))) END, 9) AS confidence FROM events")
 def c12(spark, sf_dir):
     best = F.col("value") / 10
-    return table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.round(C.calibrated(best, best / 0.4), 9).alias("confidence"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(C.calibrated(best, best / 0.4), 9).alias("confidence"))
 
 
 def spread(spark, df):
@@ -222,14 +251,14 @@ def e3(spark, sf_dir):
     return L.dedupe(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "text", "confidence")
 
 
-@query("E4_reading_order", B + "SELECT doc, seq, row_number() OVER (PARTITION BY doc ORDER BY floor((y + h / 2) / 15), x + w / 2, seq) AS pos FROM b")
+@query("E4_reading_order", B + "SELECT doc, seq, row_number() OVER (PARTITION BY doc ORDER BY trunc((y + h / 2) / 15), x + w / 2, seq) AS pos FROM b")
 def e4(spark, sf_dir):
     return L.reading_order(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "pos")
 
 
-LINES = """, c AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy, greatest(15.0, avg(h) OVER (PARTITION BY doc) * 0.5) AS tol FROM b),
-    j AS (SELECT *, coalesce(CAST(abs(cy - lag(cy) OVER (PARTITION BY doc ORDER BY cy, cx, seq)) > tol AS INT), 0) AS jump FROM c),
-    l AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY doc ORDER BY cy, cx, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM j)"""
+LINES = """, c AS (SELECT *, y + h / 2 AS cy, row_number() OVER (PARTITION BY doc ORDER BY trunc((y + h / 2) / 15), x + w / 2, seq) AS pos, greatest(15.0, avg(h) OVER (PARTITION BY doc) * 0.5) AS tol FROM b),
+    j AS (SELECT *, coalesce(CAST(abs(cy - lag(cy) OVER (PARTITION BY doc ORDER BY pos)) > tol AS INT), 0) AS jump FROM c),
+    l AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM j)"""
 
 
 @query("E5_lines", B + LINES + " SELECT doc, seq, line FROM l")
@@ -241,7 +270,7 @@ def e5(spark, sf_dir):
     "E6_layout_text",
     B
     + LINES
-    + """, g AS (SELECT doc, line, string_agg(text, ' ' ORDER BY x, seq) AS text, min(x) AS lft, min(y) AS top, max(y + h) AS bottom FROM l GROUP BY doc, line),
+    + """, g AS (SELECT doc, line, string_agg(text, ' ' ORDER BY pos) AS text, min(x) AS lft, min(y) AS top, max(y + h) AS bottom FROM l GROUP BY doc, line),
     k AS (SELECT *, first_value(lft) OVER (PARTITION BY doc ORDER BY line) AS first_left, lag(bottom) OVER (PARTITION BY doc ORDER BY line) AS prev FROM g),
     z AS (SELECT doc, line, concat(CASE WHEN top - prev > 1.5 * (bottom - top) THEN chr(10) ELSE '' END, repeat('  ', CAST(greatest(0, trunc((lft - first_left) / 40)) AS INT)), text) AS text FROM k)
     SELECT doc, string_agg(text, chr(10) ORDER BY line) AS text FROM z GROUP BY doc""",
@@ -255,10 +284,11 @@ def e8(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "text")
 
 
-@query("E9_machine_readable", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND len(x) >= 2 THEN x[1] || chr(10) || x[2] END AS mrz FROM (SELECT doc_id, lang, list_filter(list_transform(string_split(replace(text, 'ß', 's'), chr(10)), lambda s: replace(upper(s), ' ', '<')), lambda s: length(s) >= 28) AS x FROM documents WHERE lang <> 'de')")
+# the SQL engine keeps a sharp s when it turns letters upper-case
+@query("E9_machine_readable", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND len(x) >= 2 THEN x[1] || chr(10) || x[2] END AS mrz FROM (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda s: replace(upper(replace(s, 'ß', 'SS')), ' ', '<')), lambda s: length(s) >= 28) AS x FROM documents)")
 def e9(spark, sf_dir):
     kind = F.when(F.col("lang").isin("en", "de"), "passport").otherwise("other")
-    return documents(spark, sf_dir).filter("lang <> 'de'").select("doc_id", L.machine_readable_lines(F.split(F.replace("text", F.lit("ß"), F.lit("s")), "\n"), kind).alias("mrz"))
+    return documents(spark, sf_dir).select("doc_id", L.machine_readable_lines(F.split("text", "\n"), kind).alias("mrz"))
 
 
 @query("E10_pair_overlap", B + "SELECT p.doc, p.seq AS a, q.seq AS b, round(greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)), 6) AS inter FROM b p JOIN b q ON p.doc = q.doc AND p.seq < q.seq")
@@ -269,7 +299,21 @@ def e10_pairs(spark, sf_dir):
     return p.join(q, (F.col("p.doc") == F.col("q.doc")) & (F.col("p.seq") < F.col("q.seq"))).select("p.doc", F.col("p.seq").alias("a"), F.col("q.seq").alias("b"), F.round(side("x", "w") * side("y", "h"), 6).alias("inter"))
 
 
-@query("E10_suppress")
+_INTER = "(greatest(0, least(q.x + q.w, o.x + o.w) - greatest(q.x, o.x)) * greatest(0, least(q.y + q.h, o.y + o.h) - greatest(q.y, o.y)))"
+_IOU = f"({_INTER} / (q.w * q.h + o.w * o.h - {_INTER}))"
+_NEAR = "(power(q.x + q.w / 2 - o.x - o.w / 2, 2) + power(q.y + q.h / 2 - o.y - o.h / 2, 2) < 2500)"
+_ALIKE = "(1 - levenshtein(trim(lower(q.text)), trim(lower(o.text))) * 1.0 / greatest(length(trim(q.text)), length(trim(o.text))) > 0.9)"
+
+
+@query(
+    "E10_suppress",
+    f"""WITH RECURSIVE {BOX_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, seq) AS k FROM b WHERE w * h > 0 AND text <> ''),
+    r AS (SELECT doc, CAST(1 AS BIGINT) AS k, [struct_pack(seq := seq, text := text, confidence := confidence, x := x, y := y, w := w, h := h)] AS kept FROM o WHERE k = 1
+        UNION ALL SELECT r.doc, o.k, CASE WHEN len(list_filter(r.kept, lambda q: ({_ALIKE} AND ({_NEAR} OR {_IOU} > 0.01)) OR {_IOU} > 0.2 OR {_INTER} / (q.w * q.h) > 0.8 OR {_INTER} / (o.w * o.h) > 0.8)) > 0 THEN r.kept
+            ELSE list_append(r.kept, struct_pack(seq := o.seq, text := o.text, confidence := o.confidence, x := o.x, y := o.y, w := o.w, h := o.h)) END FROM r JOIN o ON o.doc = r.doc AND o.k = r.k + 1),
+    z AS (SELECT doc, unnest(kept) AS t FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc ORDER BY k DESC) = 1))
+    SELECT doc, t.seq AS seq, t.text AS text, t.confidence AS confidence FROM z""",
+)
 def e10(spark, sf_dir):
     return L.suppress(boxes(table(spark, sf_dir, "lineitem"))).select("doc", "seq", "text", "confidence")
 

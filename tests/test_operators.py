@@ -1,11 +1,13 @@
 """Golden cases of the operators that SQL cannot express, and of edge cases."""
 
+import json
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.stem import lexemes
 from docloom.operators import classify as C
 from docloom.operators import documents as D
 from docloom.operators import extract as X
@@ -86,10 +88,40 @@ def test_json_repair_and_generator(spark):
     with pytest.raises(ValueError):
         X.repaired_json("not valid json at all")
     df = spark.createDataFrame([(1, "x", "legal"), (2, "  ", "legal"), (3, "bad", "legal")], "id long, text string, kind string")
-    rows = {r["id"]: r for r in X.extract(df, "id", "text", "kind", lambda t: '{"jurisdiction": "X", "other": 1}' if t == "x" else "no").collect()}
+    rows = {r["id"]: r for r in X.extract(df, "id", "text", "kind", lambda t: '{"jurisdiction": "X", "other": 1}' if t.endswith("\nx") else "no").collect()}
     assert abs(rows[1]["confidence"] - 1 / 6) < 1e-9 and rows[2]["data"] == "{}" and rows[3]["confidence"] == 0
 
 
+def test_prompts_types_and_fall_back(spark):
+    asked = X.prompt("invoice", "t" * 9000)
+    assert all(f in asked for f in X.FIELDS["invoice"]) and asked.count("t" * 8000) == 1 and "t" * 8001 not in asked
+    assert X.prompt("correspondence", "x") == X.prompt("unknown", "x")
+    assert X.conformed({"total_amount": "12.5", "currency": "EUR", "z": 1}, "invoice") == dict.fromkeys(X.FIELDS["invoice"]) | {"total_amount": 12.5, "currency": "EUR"}
+    assert X.conformed({"total_amount": "much", "invoice_number": 7}, "invoice") == dict.fromkeys(X.FIELDS["invoice"]) | {"total_amount": "much", "invoice_number": 7}
+
+    def down(_):
+        raise OSError("no network")
+
+    text = "Invoice No: INV-7 Subtotal: $50.00 Total: $55.00"
+    df = spark.createDataFrame([(1, text, "invoice"), (2, "ID: U89084829 03 Rx $10/30/60 passport", "identity"), (3, "x", "legal")], "id long, text string, kind string")
+    rows = {r["id"]: json.loads(r["data"]) for r in X.extract(df, "id", "text", "kind", down).collect()}
+    assert (rows[1]["invoice_number"], rows[1]["total_amount"], rows[1]["invoice_date"]) == ("INV-7", 50.0, None)
+    assert (rows[2]["member_id"], rows[2]["copay_rx"], rows[2]["card_type"]) == ("U89084829 03", "$10/$30/$60", "Passport")
+    assert rows[3] == dict.fromkeys(X.FIELDS["legal"])
+    # the expressions and the fall-back agree
+    exprs = df.select("id", *[c.alias(f) for f, c in X.identity_fields(F.col("text")).items()]).filter("id = 2").first().asDict()
+    assert {f: exprs[f] for f in X.FIELDS["identity"]} == rows[2]
+
+
+def test_search_in_stems(spark):
+    d = spark.createDataFrame([(1, "The relation of things", "a"), (2, "relational thing, relating THINGS", "b"), (3, "relative", "a"), (4, "happiness and ponies", "a")], "id long, text string, kind string")
+    found = lambda q, **o: [r["id"] for r in S.search(d, q, "id", "text", **o).collect()]
+    assert found("the thing") == [2, 1] and found("relates") == [2, 1] and found("happy pony") == [4] and found("the of") == []
+    assert found("things", only=F.col("kind") == "a") == [1] and S.search(d, "thing", "id", "text", total=True).first()["total"] == 2
+    index = lexemes(d, "id", "text")
+    assert [r["id"] for r in S.search_postings(index, "the thing", "id").collect()] == [2, 1] and S.search_postings(index, "the", "id").count() == 0
+
+
 def boxes(spark, rows):
     return spark.createDataFrame(rows, "doc long, seq long, text string, confidence double, x double, y double, w double, h double")
 
@@ -226,3 +258,23 @@ def test_stemming(spark):
     assert {w: stem(w) for w in known} == known
     df = spark.createDataFrame([(1, "The invoices and the INVOICE were paid"), (2, None)], "id long, text string")
     assert sorted((r["lexeme"], r["positions"]) for r in lexemes(df, "id", "text").collect()) == [("invoic", [2, 5]), ("paid", [7])]
+
+
+def test_line_order(spark):
+    """Boxes of height 10: in rows of 15 pixels first, each compared with the one before it in that order."""
+    rows = [(1, k, t, 0.9, x - 5.0, y - 5.0, 10.0, 10.0) for k, (t, x, y) in enumerate([("a", 50, 14), ("b", 100, 0), ("c", 50, 16)])]
+    got = {r["text"]: r["line"] for r in L.lines(boxes(spark, rows)).collect()}
+    assert got == {"a": 0, "b": 0, "c": 1}
+    assert L.layout_text(boxes(spark, rows)).first()["text"] == "a b\nc"
+
+
+def test_suppression_by_edit_ratio(spark):
+    place = lambda k, t, x, doc=1: (doc, k, t, 0.9 - k / 100, float(x), 0.0, 5.0, 5.0)
+    rows = [place(0, "total: 100", 0), place(1, "total: 10", 20), place(2, "  ", 40), place(3, " ", 60), place(4, "", 80), place(5, "TOTAL: 100 ", 30)]
+    assert sorted(r["seq"] for r in L.suppress(boxes(spark, rows)).collect()) == [0, 1, 2, 3]
+    none = [(None, k, "w", None if k else 0.5, 0.0, 0.0, 5.0, 5.0) for k in range(300)] + [(2, 0, None, 0.5, 0.0, 0.0, 5.0, 5.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert [tuple(r)[:2] for r in L.suppress(boxes(spark, none)).collect()] == [(None, 0)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
