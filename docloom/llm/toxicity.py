@@ -13,7 +13,9 @@ fitted on the same bounded sample. Whole texts are scored, each by itself: no sh
 
 Defined cases: a null or empty text gets the score of a text without matches; labels that are null
 or name no document are ignored, and repeated labels count once, toxic if any says so; without
-labels of both kinds nothing is learned and every score is the smoothed share of toxic labels.
+labels of both kinds nothing is learned and every score is the smoothed share of toxic labels. Of rows
+that share an id one text, that of the least hash, is learned from, and each row is scored; an empty table
+of documents gives an empty result; other columns of any name are kept by `flag` and else ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from docloom.llm.common import arrow_schema, as_batch, crc_column, map_batches,
 from docloom.session import ship_package
 
 WORD = re.compile(r"[^\W_]+")
-QUOTES = "\"“”„«»‹›"
+MARKS = re.compile("[\"“”„«»‹›]")
 
 
 @dataclass
@@ -60,6 +62,7 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.end: list[bool] = [False]
         self.deep: list[bool] = [False]  # some term of fuzzy length passes here
+        self.fuzzy: set[int] = set()  # or ends here
         for t in terms:
             at = 0
             long = len(t) >= fuzzy_from
@@ -73,6 +76,8 @@ class Automaton:
                 at = self.next[at][c]
                 self.deep[at] |= long
             self.end[at] = True
+            if long:
+                self.fuzzy.add(at)
         self.short = {t for t in terms if len(t) < fuzzy_from}
         self.table: dict[frozenset, dict[str, frozenset]] = {}
         self.start = self._close({(0, 1)} if self.deep[0] else {(0, 0)})
@@ -116,7 +121,7 @@ class Automaton:
             at = to
             if not at:
                 return 0
-        return int(len(word) >= 4 and any(self.end[n] for n, _ in at))
+        return int(len(word) >= 4 and any(n in self.fuzzy for n, _ in at))
 
 
 N_FEATURES = 6
@@ -124,34 +129,33 @@ N_FEATURES = 6
 
 def features(texts: list[str | None], model: Model, automaton: Automaton) -> np.ndarray:
     """One row for each text: 1, exact, misspelled, quoted, densest window, words."""
-    docs = [WORD.findall(t.lower()) if t else [] for t in texts]
+    lowered = [t.lower() if t else "" for t in texts]
+    docs = [WORD.findall(t) for t in lowered]
     kind = {w: m for w in set().union(*docs) if (m := automaton.match(w))} if docs else {}
     out = np.zeros((len(texts), N_FEATURES))
     out[:, 0] = 1
     for k, words in enumerate(docs):
         out[k, 5] = np.log1p(len(words)) / 10
-        at = [i for i, w in enumerate(words) if w in kind] if kind else []
-        if not at:
+        at = np.array([i for i, w in enumerate(words) if w in kind] if kind else [], np.int64)
+        if not len(at):
             continue
-        t, where, exact, fuzzy, quoted, kept = texts[k].lower(), 0, 0, 0, 0, []
-        spans = list(WORD.finditer(t)) if any(q in t for q in QUOTES) else None
-        for i in at:
-            if spans is not None:
-                s = spans[i]
-                before = sum(t.count(q, where, s.start()) for q in QUOTES)
-                within = before % 2 == 1 and any(q in t[s.end() :] for q in QUOTES)
-                if within:
-                    quoted += 1
-                    continue
-            kept.append(i)
-            exact += kind[words[i]] == 2
-            fuzzy += kind[words[i]] == 1
-        a = np.array(kept)
-        dense = int((np.searchsorted(a, a + model.options.window) - np.arange(len(a))).max()) if kept else 0
-        out[k, 1:5] = np.log1p([exact, fuzzy, quoted, dense])
+        exact = np.array([kind[words[i]] == 2 for i in at.tolist()])
+        free = ~_quoted(lowered[k], at)
+        a = at[free]
+        dense = int((np.searchsorted(a, a + model.options.window) - np.arange(len(a))).max()) if len(a) else 0
+        out[k, 1:5] = np.log1p([(free & exact).sum(), (free & ~exact).sum(), (~free).sum(), dense])
     return out
 
 
+def _quoted(text: str, at: np.ndarray) -> np.ndarray:
+    """Which of the words, by number, stand behind an odd number of quotation marks and before another one."""
+    marks = np.array([m.start() for m in MARKS.finditer(text)], np.int64)
+    if not len(marks):
+        return np.zeros(len(at), bool)
+    spans = np.array([m.span() for m in WORD.finditer(text)], np.int64)[at]
+    return (np.searchsorted(marks, spans[:, 0]) % 2 == 1) & (marks[-1] >= spans[:, 1])
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the constant is not shrunk."""
     w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * len(y) ** 0.5)
@@ -168,7 +172,9 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, o: Options) -> DataFrame:
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_column(F.col("doc_id"), o.folds) != 0))
     chosen = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(o.max_labelled)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("one")
+    return rows.groupBy("doc_id", "toxic").agg(one).select("doc_id", "one.text", "toxic")  # at most max_labelled rows
 
 
 def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) -> Model:
@@ -209,7 +215,10 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
     if n0 and n1:
         pure = counts.filter((F.col("p") != "") & (F.col("n1") >= o.least_toxic) & (F.col("n1") * n0 >= o.ratio * n1 * (F.col("n0") + 0.5)) & (_surprise(n1 / (n0 + n1)) >= -np.log(o.chance)))
         found = {r["p"]: r["n1"] for r in pure.collect()}  # beginnings of words of the bounded sample
-        closed = {p for p in found if not any(len(q) == len(p) + 1 and found[q] >= 0.9 * found[p] for q in _longer(p, found))}
+        longer: dict[str, int] = {}  # the most that a beginning of one letter more has
+        for q, n in found.items():
+            longer[q[:-1]] = max(n, longer.get(q[:-1], 0))
+        closed = {p for p in found if longer.get(p, 0) < 0.9 * found[p]}
         terms = {p for p in closed if not any(p[:k] in closed for k in range(o.least_length, len(p)))}
         model.terms = sorted(_diverse(rows, terms, found, o))
         automaton = Automaton(model.terms, o.fuzzy_from)
@@ -233,15 +242,6 @@ def _surprise(share: float):
     return n1 * F.log(n1 / ((n0 + n1) * share)) + against
 
 
-def _longer(p: str, found: dict[str, int], _index: dict = {}) -> list[str]:  # noqa: B006
-    if _index.get("of") is not found:
-        _index.clear()
-        _index |= {"of": found, "by": {}}
-        for q in found:
-            _index["by"].setdefault(q[:-1], []).append(q)
-    return _index["by"].get(p, [])
-
-
 def _diverse(rows: DataFrame, terms: set[str], found: dict[str, int], o: Options) -> list[str]:
     """Terms that follow many different words in toxic documents."""
 
