@@ -13,7 +13,8 @@ read once; only numbers of a page are shuffled, and hosts are summed before they
 
 Defined cases: a null or empty page, or one without text, is judged by the other evidence; a null
 address has the empty host; without labelled documents the language is null and the probability 0;
-ties go to the language first in order; repeated rows count each; other columns are ignored.
+ties go to the language first in order; repeated pages count each, repeated documents once; a very long
+page is read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,11 +45,19 @@ def cells(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def fit(docs: DataFrame, max_labelled: int = 4000) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log probabilities of cells (a row for each language)."""
+def fit(docs: DataFrame, max_labelled: int = 4000, least_share: float = 0.004) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and log probabilities of cells (a row for each language).
+
+    The sample has at most `max_labelled` ids, one text each, and languages with a lesser share of it than
+    `least_share` are taken for errors, so the table has at most 1 / least_share rows.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # at most max_labelled rows
+    chosen = known.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_labelled)
+    by_lang = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # of max_labelled rows
+    often = [k for k, n in by_lang.items() if n >= least_share * sum(by_lang.values())]
+    one = F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("one")
+    rows = known.join(F.broadcast(chosen.filter(F.col("lang").isin(often))), ["doc_id", "lang"])
+    rows = rows.groupBy("doc_id", "lang").agg(one).select("lang", "one.text")  # at most max_labelled rows
 
     def count(batch):
         by: dict[str, np.ndarray] = {}
