@@ -11,12 +11,14 @@ An item with containment c >= 0.8 that lies in one stretch fills over 0.8 / (3 +
 48 minima miss it with probability under 4e-5; spread over two stretches, under 5e-3 each.
 
 The benchmark is a fixed list. Its hashes are sent to the tasks only while it has at most
-`most_items` items; beyond that, items are dealt into groups of that many and the documents are
-read once for each group. Documents are neither shuffled nor cut.
+`most_items` items and `most_bytes` of text; beyond that, items are dealt into groups of about that many
+and the documents are read once for each group. Documents are neither shuffled nor cut.
 
 Defined cases: null and empty texts and items match nothing; an item with fewer words than a
 shingle is one shingle, found only in a document that has exactly those words; items that repeat
-match each by its own id; null ids stay null; an empty table on either side gives no rows.
+match each by its own id, and rows that repeat id and text are one; null ids stay null; documents that repeat
+match each; `decontaminate` judges each row by itself, with or without an id; an empty table on either side
+gives no rows; other columns of any name are kept by `decontaminate` and else ignored.
 """
 
 from __future__ import annotations
@@ -80,56 +82,72 @@ class Search:
         return found
 
 
-def _contained(docs: DataFrame, search: Search, least: float) -> DataFrame:
-    schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
-    target, k = arrow_schema(schema), search.k
-
-    def run(it):
-        for batch in slices(it, 256):
-            w, bounds = words(*text_bytes(batch.column("text")))
-            n = len(w)
-            full = np.zeros(n, np.uint64)
-            spans = np.zeros(len(bounds), np.int64)
-            whole = shingles(w, bounds, k)
-            # shingles in text order, row after row
-            parts = []
-            if n >= k:
-                roll = w[: n - k + 1] * _WEIGHTS[0]
-                for j in range(1, k):
-                    roll = roll + w[j : n - k + 1 + j] * _WEIGHTS[j]
-                roll = mix64(roll)
-            for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                parts.append(roll[a : b - k + 1] if b - a >= k else whole[r])
-                spans[r + 1] = spans[r] + len(parts[-1])
-            full = np.concatenate(parts) if parts else full
-            ids = batch.column("doc_id").to_pylist()
-            out: dict[str, list] = {c: [] for c in target.names}
-            for r, i in sorted(search.candidates(full, spans)):
-                item = search.sets[i]
-                at = np.minimum(np.searchsorted(whole[r], item), len(whole[r]) - 1)
-                shared = int((whole[r][at] == item).sum())
-                if shared >= least * len(item) - 1e-9:
-                    for c, v in zip(out, (ids[r], search.ids[i], shared, len(item), shared / len(item)), strict=True):
-                        out[c].append(v)
-            if out["doc_id"]:
-                yield as_batch(out, target)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, hashes: int = 48, most_items: int = 20_000) -> DataFrame:
+def _matches(batch: pa.RecordBatch, search: Search, least: float) -> list[tuple[int, int, int]]:
+    """Row, number of the item, and shared shingles, for each item that a text of the batch contains."""
+    k = search.k
+    w, bounds = words(*text_bytes(batch.column("text")))
+    n = len(w)
+    whole = shingles(w, bounds, k)
+    roll = np.zeros(0, np.uint64)
+    if n >= k:
+        roll = w[: n - k + 1] * _WEIGHTS[0]
+        for j in range(1, k):
+            roll = roll + w[j : n - k + 1 + j] * _WEIGHTS[j]
+        roll = mix64(roll)
+    # shingles in text order, row after row
+    parts = [roll[a : b - k + 1] if b - a >= k else whole[r] for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
+    spans = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    out = []
+    for r, i in sorted(search.candidates(np.concatenate(parts) if parts else roll, spans)):
+        item = search.sets[i]
+        at = np.minimum(np.searchsorted(whole[r], item), len(whole[r]) - 1)
+        shared = int((whole[r][at] == item).sum())
+        if shared >= least * len(item) - 1e-9:
+            out.append((r, i, shared))
+    return out
+
+
+def _searches(benchmark: DataFrame, k: int, hashes: int, most_items: int, most_bytes: int):
+    """The items' side, in groups of a bounded size."""
+    items = benchmark.select("item_id", "text").distinct()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    groups = max(1, -(-size["n"] // most_items), -(-size["b"] // most_bytes))
+    for g in range(groups):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()  # about most_items rows, most_bytes
+        yield Search([r["item_id"] for r in own], [r["text"] for r in own], k, hashes)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, hashes: int = 48, most_items: int = 20_000, most_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of every pair at or above `least`."""
     ship_package(docs.sparkSession)
-    items = benchmark.select("item_id", "text")
-    groups = max(1, -(-items.count() // most_items))
-    found = []
-    for g in range(groups):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()  # about most_items rows
-        found.append(_contained(docs, Search([r["item_id"] for r in own], [r["text"] for r in own], k, hashes), least))
-    return reduce(DataFrame.unionByName, found)
+    schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
+    target = arrow_schema(schema)
+
+    def found(search: Search) -> DataFrame:
+        def run(it):
+            for batch in slices(it, 256):
+                hits = _matches(batch, search, least)
+                if hits:
+                    ids = batch.column("doc_id").to_pylist()
+                    rows = [(ids[r], search.ids[i], shared, len(search.sets[i]), shared / len(search.sets[i])) for r, i, shared in hits]
+                    yield as_batch(dict(zip(target.names, zip(*rows, strict=True), strict=True)), target)
+
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, [found(s) for s in _searches(benchmark, k, hashes, most_items, most_bytes)])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, hashes: int = 48, most_items: int = 20_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, all columns kept, that hold no benchmark item; in one pass for each group of items."""
+    ship_package(docs.sparkSession)
+
+    def clean(rows: DataFrame, search: Search) -> DataFrame:
+        def run(it):
+            for batch in slices(it, 256):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r for r, _, _ in _matches(batch, search, least)]] = False
+                yield batch.filter(pa.array(keep))
 
+        return rows.mapInArrow(run, rows.schema)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns kept, that hold no benchmark item."""
-    hit = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return reduce(clean, _searches(benchmark, k, hashes, most_items, most_bytes), docs)
