@@ -404,7 +404,7 @@ def sweeps(state: DataFrame, replies: DataFrame, buckets: int, hot: np.ndarray,
     return _by_bucket(state.unionByName(replies), solve, target)
 
 
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = 2, samples: int = 2, chunk: int = 8 << 20, bucket_bytes: int = 16 << 20, hot_share: float = 1 / 2000, hot_sample: int = 4000) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, rounds: int = 2, samples: int = 2, chunk: int = 8 << 20, bucket_bytes: int = 8 << 20, hot_share: float = 1 / 2000, hot_sample: int = 4000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     stage = Stage(spark, "lm")
