@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -325,6 +326,29 @@ def test_page_text():
         assert html.main_text(f"<body><div {mark}>{noise}</div><div id=c data-id=comment-1>{body}</div></body>") == want, mark
 
 
+@pytest.mark.parametrize("unit", ["<div>x ", "<a ", '<a " ', """<a '">x</a>""", "<center><dt></dt>", "<div></p>", "<! ", "<li>a, b<dt>", """<a "><b x='>""", "<!-- ", "<script>", "<table><tr><td>x", '<div class="legal form">a '])
+def test_broken_pages_take_time_in_proportion(unit):
+    began = time.process_time()
+    html.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 6  # 1 to 2 s on a free machine; minutes if it grew with the square
+
+
+def test_doubtful_names():
+    body = "<p>Long text, with commas, here and there, always, and some more of it for good.</p>" * 4
+    other = "<p>Share this, by letter, or by word, with all of your friends, as you like.</p>"
+    for name in ("legal-article", "legal", "form", "search"):
+        assert html.main_text(f'<body><div class="{name}">{body}</div></body>').count("\n") == 3, name
+    for name in ("share", "related", "legal", "notice", "comment-content", "post-comments", "sidebar-content"):
+        assert html.main_text(f'<body><div id=x>{body}</div><div class="{name}">{other}</div></body>').count("\n") == 3, name
+
+
+def test_pages_edges(spark):
+    rows = [(1, "u", PAGE, 9), (1, "u", PAGE, 9), (None, None, None, 9), (2, "", "", 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = html.extract(pages).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, 0, len(html.main_text(PAGE)), len(html.main_text(PAGE))] and html.extract(pages.limit(0)).count() == 0
+
+
 def test_pages_query(spark):
     rows = queries.op5_html_extraction(spark, SF).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
@@ -348,6 +372,20 @@ def test_languages(spark):
     assert langid.identify(odd.limit(0), docs).count() == 0
 
 
+def test_languages_from_text_alone(spark):
+    """Held-out documents as pages that declare nothing, and a column of languages full of errors."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("length(text) > 200")
+    known, new = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    dirty = known.unionByName(spark.createDataFrame([(10_000 + i, "xx", f"l{i}") for i in range(300)], "doc_id long, text string, lang string"))
+    langs, table_ = langid.fit(dirty)
+    assert set(langs) <= {r["lang"] for r in docs.select("lang").distinct().collect()} | {f"l{i}" for i in range(300)} and len(langs) <= 250
+    pages = new.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("<p>"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("</p>")).alias("html"))
+    got = langid.identify(pages, known).join(new, F.col("page_id") == F.col("doc_id")).filter("lang is not null")
+    assert got.filter("language = lang").count() >= 0.97 * got.count()
+    r = random.Random(2)
+    assert np.allclose(np.exp(langid.fit(known)[1].astype(float)).sum(axis=1), 1, atol=1e-3) and len(langid.cells("".join(r.choice("aé ") for _ in range(50)))) > 100
+
+
 # --- toxicity --------------------------------------------------------------------------------------
 def test_automaton():
     a = toxicity.Automaton(["moron", "scum", "worthless"], 5)
@@ -355,6 +393,54 @@ def test_automaton():
     assert {w: a.match(w) for w in cases} == cases
 
 
+def test_automaton_against_edit_distance(words):
+    """Every word against every term, by the plain table of edits."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = _next(row, i, c, b)
+        return row[-1]
+
+    def _next(row, i, c, b):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        return new
+
+    r = random.Random(9)
+    terms = [t for t in words[:60] if len(t) >= 4]
+    a = toxicity.Automaton(terms, 5)
+    tried = words + ["".join(r.choice("abcdefé") if r.random() < 0.2 else c for c in r.choice(terms)) for _ in range(400)] + [t[:k] + t[k + 1 :] for t in terms for k in range(len(t))]
+    for w in tried:
+        want = 2 if any(w.startswith(t) for t in terms) else int(len(w) >= 4 and any(len(t) >= 5 and edits(w, t) <= 1 for t in terms))
+        assert a.match(w) == want, w
+
+
+def test_quotations_and_long_texts():
+    m = toxicity.Model(["moron"], np.array([-3.0, 4, 4, -1, 1, 0]))
+    a = toxicity.Automaton(m.terms, 5)
+    for t in ('moron "moron" moron', '"moron moron', 'a "b" moron "moron"', "«moron» moran"):
+        x = toxicity.features([t], m, a)[0]
+        words_ = [(w.group(), w.start(), w.end()) for w in toxicity.WORD.finditer(t)]
+        inside = [sum(c in '"«»' for c in t[:s]) % 2 == 1 and any(c in '"«»' for c in t[e:]) for _, s, e in words_]
+        hit = [w == "moron" or w == "moran" for w, *_ in words_]
+        assert round(math.expm1(x[3])) == sum(h and i for h, i in zip(hit, inside)) and round(math.expm1(x[1] + 0)) + round(math.expm1(x[2])) == sum(h and not i for h, i in zip(hit, inside))
+    began = time.process_time()
+    toxicity.features(['he said "moron" ' * 60_000], m, a)
+    assert time.process_time() - began < 6
+
+
+def test_toxicity_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "scum here"), (1, "scum here"), (1, "other words"), (2, "plain words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, toxicity.Options(folds=1 << 20)).count() == 2
+    m = toxicity.learn(docs, labels)
+    assert toxicity.score(docs, m).count() == 4 and toxicity.score(docs.limit(0), m).count() == 0 and toxicity.learn(docs.limit(0), labels).terms == []
+    clash = docs.selectExpr("text AS score", "doc_id", "text", "1 AS matches")
+    assert toxicity.flag(clash, m).columns == clash.columns
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -400,6 +486,15 @@ def test_contamination(spark, odd):
     assert decontam.decontaminate(odd, small).count() == odd.count() - 3
 
 
+def test_decontamination_row_by_row(spark):
+    item = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(None, item, 1), (1, item, 2), (1, "something else that is clean", 3), (None, None, 4)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(5, item), (5, item), (6, "nine ten eleven twelve thirteen")], "item_id long, text string")
+    for options in ({}, {"most_items": 1}, {"most_bytes": 10}):
+        assert sorted(r["item_id"] for r in decontam.decontaminate(docs, items, **options).collect()) == [3, 4]
+        assert sorted(str(tuple(r)[:2]) for r in decontam.contaminated(docs, items, **options).collect()) == ["(1, 5)", "(None, 5)"]
+
+
 def test_contamination_inside_long_texts(spark, words):
     r = random.Random(11)
     item = " ".join(r.choice(words) for _ in range(40))
