@@ -58,13 +58,18 @@ MAX_CHARS = 8000
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """A group of the first match, null without one. The pattern runs once: nothing tests the match beside the filter."""
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda m: m != ""), F.lit(0))
 
 
 def shaped(text: Column, pattern: str, shape: str) -> Column:
-    """The shape with {n} in it filled from groups; null when the pattern does not match."""
-    parts = [first_group(text, pattern, int(p)) if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"\{(\d)\}", shape)) if k % 2 or p]
-    return F.concat(*parts)
+    """The shape with {n} in it filled from groups; null when the pattern does not match. Groups are taken from the match alone."""
+    pieces = [(k % 2, p) for k, p in enumerate(re.split(r"\{(\d)\}", shape)) if k % 2 or p]
+    if len(pieces) == 1:
+        return first_group(text, pattern, int(pieces[0][1]))
+    found = F.filter(F.array(F.regexp_extract(text, pattern, 0)), lambda m: m != "")
+    fill = lambda m: F.concat(*[F.regexp_extract(m, pattern, int(p)) if is_group else F.lit(p) for is_group, p in pieces])
+    return F.get(F.transform(found, fill), F.lit(0))
 
 
 def invoice_fields(text: Column) -> dict[str, Column]:
@@ -178,6 +183,11 @@ def extract(docs: DataFrame, key: str, text: str, document_type: str, generate:
     return rows.mapInPandas(run, f"key {docs.schema[key].dataType.simpleString()}, data string, confidence double").withColumnRenamed("key", key)
 
 
+def displayed_list(values: Column) -> Column:
+    """The first five joined by commas; null for an empty list, as for an empty text."""
+    return F.nullif(F.array_join(F.slice(values, 1, 5), ", "), F.lit(""))
+
+
 def displayed(name: str, value: Column) -> Column:
     """A number as shown on screen: money for amounts and totals."""
     money = "amount" in name or "total" in name

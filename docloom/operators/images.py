@@ -205,6 +205,132 @@ def difference_map(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(gray(a).astype(int) - gray(b).astype(int)).astype(np.uint8)
 
 
+def _luma(img: np.ndarray, f) -> np.ndarray:
+    """f on the lightness of a colour image, whose colours follow by the same step; on a gray one f alone."""
+    if img.ndim == 2:
+        return f(img)
+    light = img[..., :3].max(-1).astype(np.float64) / 2 + img[..., :3].min(-1) / 2
+    new = f(_byte(light)).astype(np.float64)
+    return _byte(img + (new - light)[..., None])
+
+
+def denoised_colour(img: np.ndarray) -> np.ndarray:
+    """Non-local means of each channel."""
+    return denoised(img) if img.ndim == 2 else np.stack([denoised(img[..., k]) for k in range(img.shape[2])], axis=-1)
+
+
+def clahe_colour(img: np.ndarray) -> np.ndarray:
+    """Equalised lightness, colours kept."""
+    return _luma(img, clahe)
+
+
+def largest_part(mask: np.ndarray) -> np.ndarray:
+    """The largest part of a mask whose pixels touch by a side: labels take the least of their neighbours' along
+    rows and columns until none changes."""
+    n = mask.size
+    label = np.where(mask, np.arange(n).reshape(mask.shape), n)
+    while True:
+        before = label
+        for axis in (0, 1):
+            for flip in (False, True):
+                x = np.flip(label, axis) if flip else label
+                x = np.moveaxis(x, axis, 0).copy()
+                for k in range(1, len(x)):
+                    x[k] = np.where(x[k] < n, np.minimum(x[k], x[k - 1]), n)
+                x = np.moveaxis(x, 0, axis)
+                label = np.flip(x, axis) if flip else x
+        if (label == before).all():
+            break
+    ids, counts = np.unique(label[label < n], return_counts=True)
+    return label == ids[counts.argmax()] if len(ids) else mask
+
+
+def page_corners(img: np.ndarray) -> np.ndarray | None:
+    """Corners (x, y) of the largest bright area, from the upper left clockwise; null unless they make a convex
+    shape of 1000 pixels or more that fills most of the area."""
+    part = largest_part(otsu(img) > 0)
+    y, x = np.nonzero(part)
+    if len(y) < 1000:
+        return None
+    at = [(x + y).argmin(), (x - y).argmax(), (x + y).argmax(), (y - x).argmax()]
+    c = np.array([(x[k], y[k]) for k in at], np.float64)
+    side = np.roll(c, -1, axis=0) - c
+    turn = side[:, 0] * np.roll(side, -1, axis=0)[:, 1] - side[:, 1] * np.roll(side, -1, axis=0)[:, 0]
+    area = abs((c[:, 0] * np.roll(c[:, 1], -1) - np.roll(c[:, 0], -1) * c[:, 1]).sum()) / 2
+    return c if (turn > 0).all() and area >= 1000 and area >= 0.8 * len(y) else None
+
+
+def flattened(img: np.ndarray, least: int = 100) -> np.ndarray:
+    """The page that fills the image, seen from above; images without four corners, or with a side under `least`, stay."""
+    c = page_corners(img)
+    if c is None:
+        return img
+    length = lambda a, b: float(np.hypot(*(c[a] - c[b])))
+    w, h = int(max(length(0, 1), length(3, 2))), int(max(length(0, 3), length(1, 2)))
+    if min(w, h) < least:
+        return img
+    flat = np.array([(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], np.float64)
+    rows, right = [], []
+    for (u, v), (x, y) in zip(flat, c, strict=True):
+        rows += [[u, v, 1, 0, 0, 0, -x * u, -x * v], [0, 0, 0, u, v, 1, -y * u, -y * v]]
+        right += [x, y]
+    m = np.append(np.linalg.solve(np.array(rows), np.array(right)), 1).reshape(3, 3)
+    v, u = np.mgrid[:h, :w]
+    x, y, z = np.tensordot(m, np.stack([u, v, np.ones_like(u)]).astype(np.float64), axes=1)
+    sx, sy = np.clip(np.rint(x / z), 0, img.shape[1] - 1).astype(int), np.clip(np.rint(y / z), 0, img.shape[0] - 1).astype(int)
+    return img[sy, sx]
+
+
+def variants(img: np.ndarray) -> dict[str, np.ndarray]:
+    """What a recogniser is shown: as it is, prepared, with an even background, and enlarged where it is small."""
+    out = {"original": img, "prepared": img, "background": img}
+    for s in PREPROCESS:
+        out["prepared"] = KERNELS[s](out["prepared"])
+    out["background"] = background_normalised(img, 15)
+    if min(img.shape[:2]) < 800:
+        out["enlarged"] = upscaled(img)
+    return out
+
+
+def bar_text(canvas: np.ndarray, text: str, x: int, y: int, w: int, h: int, alpha: float) -> None:
+    """Stands in for a font: a bar for each visible character, as wide as its share of the box."""
+    step = w / max(1, len(text))
+    for k, c in enumerate(text):
+        if not c.isspace():
+            a, b = int(x + k * step), max(int(x + k * step) + 1, int(x + (k + 0.7) * step))
+            part = canvas[max(0, y) : max(0, y + h), max(0, a) : max(0, b)]
+            part[...] = _byte(part * (1 - alpha))
+
+
+def reconstructed(img: np.ndarray, boxes: list[tuple], draw=bar_text) -> np.ndarray:
+    """A page drawn from its kept boxes (text, confidence, x, y, w, h), largest first, over a faint original.
+
+    The renderer is injected: it gets the canvas, text, place, height and how dark to draw.
+    """
+    g = gray(img).astype(np.float64)
+    out = _byte(255 - (255 - g) * FAINT / 255)
+    h_, w_ = out.shape
+    for text, confidence, x, y, w, h in sorted(boxes, key=lambda b: -b[4] * b[5]):
+        dark = FAINT / 255 if w * h > 15000 and confidence < 0.85 else 1.0
+        out[max(0, int(y)) : int(y + h), max(0, int(x)) : int(x + w)] = 255
+        draw(out, text, int(x), int(y), min(int(w), w_), min(int(h * 0.8), h_), dark)
+    return out
+
+
+def verify(img: np.ndarray, boxes: list[tuple], draw=bar_text, passes: int = 3, enough: float = 95.0) -> dict[str, float]:
+    """The comparison of a page with what its boxes give back; the best of several passes by its text."""
+    best: dict[str, float] = {}
+    for _ in range(passes):
+        found = compare(img, reconstructed(img, boxes, draw))
+        if not best or found["text_match"] > best["text_match"]:
+            best = found
+        if found["overall"] >= enough:
+            break
+    return best
+
+
+#: How dark a faint part is, of 255.
+FAINT = 40
 KERNELS = {
     "gray": gray,
     "shadow_free": shadow_free,
@@ -218,6 +344,10 @@ KERNELS = {
     "sharpen": sharpened_if_soft,
     "background": background_normalised,
     "upscale": upscaled,
+    "denoise_colour": denoised_colour,
+    "clahe_colour": clahe_colour,
+    "flatten": flattened,
+    "text_mask": lambda img: np.where(text_mask(img), 255, 0).astype(np.uint8),
 }
 #: The usual order before recognition.
 PREPROCESS = ["gray", "shadow_free", "denoise", "deskew", "binarise"]
@@ -234,8 +364,7 @@ def transformed(images: DataFrame, steps: list[str] = PREPROCESS) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 try:
-                    img = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-                    img = img[..., 0] if r.channels == 1 else img
+                    img = _image(r)
                     for s in steps:
                         img = KERNELS[s](img)
                     out.append((r.origin, img.shape[0], img.shape[1], 1 if img.ndim == 2 else img.shape[2], np.ascontiguousarray(img).tobytes(), None))
@@ -244,3 +373,74 @@ def transformed(images: DataFrame, steps: list[str] = PREPROCESS) -> DataFrame:
             yield pd.DataFrame(out, columns=["origin", "height", "width", "channels", "data", "error"])
 
     return images.select("origin", "height", "width", "channels", "data").mapInPandas(run, "origin string, height int, width int, channels int, data binary, error string")
+
+
+def _image(r) -> np.ndarray:
+    img = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+    return img[..., 0] if r.channels == 1 else img
+
+
+BOX = "text string, confidence double, x double, y double, w double, h double"
+
+
+def recognised(images: DataFrame, recognise) -> DataFrame:
+    """(origin, variant, seq, box columns) from an injected recogniser, which gets an image and gives
+    (text, confidence, x, y, w, h); a variant that it fails on has no boxes. Boxes of enlarged images are put back to scale."""
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples():
+                img, seq = _image(r), 0
+                for name, v in variants(img).items():
+                    try:
+                        found = recognise(v)
+                    except Exception:  # noqa: BLE001  whatever a recogniser raises
+                        continue
+                    fy, fx = (img.shape[0] / v.shape[0], img.shape[1] / v.shape[1]) if name == "enlarged" else (1.0, 1.0)
+                    for text, c, x, y, w, h in found:
+                        out.append((r.origin, name, seq, text, c, x * fx, y * fy, w * fx, h * fy))
+                        seq += 1
+            yield pd.DataFrame(out, columns=["origin", "variant", "seq", "text", "confidence", "x", "y", "w", "h"])
+
+    return images.select("origin", "height", "width", "channels", "data").mapInPandas(run, f"origin string, variant string, seq long, {BOX}")
+
+
+def verified(images: DataFrame, boxes: DataFrame, draw=bar_text) -> DataFrame:
+    """(origin, ssim, pixel_match, text_match, overall): each page against its reconstruction from its boxes, which
+    are first suppressed and freed of watermarks."""
+    from pyspark.sql import functions as F
+
+    from docloom.operators import layout
+
+    sized = boxes.join(images.select("origin", "height", "width"), "origin")
+    clean = sized.filter(~layout.is_watermark(F.col("width"), F.col("height"))).drop("height", "width").withColumnRenamed("origin", "doc")
+    kept = layout.suppress(clean.select("doc", "seq", "text", "confidence", "x", "y", "w", "h"))
+    of_page = kept.groupBy(F.col("doc").alias("origin")).agg(F.collect_list(F.struct("text", "confidence", "x", "y", "w", "h")).alias("boxes"))  # of one page
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples():
+                found = verify(_image(r), [tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in (r.boxes if r.boxes is not None else ())], draw)
+                out.append((r.origin, *(found[c] for c in ("ssim", "pixel_match", "text_match", "overall"))))
+            yield pd.DataFrame(out, columns=["origin", "ssim", "pixel_match", "text_match", "overall"])
+
+    joined = images.join(of_page, "origin", "left").select("origin", "height", "width", "channels", "data", "boxes")
+    return joined.mapInPandas(run, "origin string, ssim double, pixel_match double, text_match double, overall double")
+
+
+def write_files(images: DataFrame, folder: str) -> DataFrame:
+    """(origin, name, content): portable gray or colour maps of image rows, ready for a binary sink."""
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples():
+                img = _image(r)
+                kind = b"P5" if img.ndim == 2 else b"P6"
+                pixels = img if img.ndim == 2 else img[..., 2::-1]
+                out.append((r.origin, f"{folder}/{r.origin.rsplit('/', 1)[-1]}.{'pgm' if img.ndim == 2 else 'ppm'}", b"%s %d %d 255\n" % (kind, r.width, r.height) + np.ascontiguousarray(pixels).tobytes()))
+            yield pd.DataFrame(out, columns=["origin", "name", "content"])
+
+    return images.select("origin", "height", "width", "channels", "data").mapInPandas(run, "origin string, name string, content binary")

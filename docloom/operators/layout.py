@@ -35,6 +35,12 @@ def merge_votes(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     return votes.withColumn("k", F.row_number().over(w)).filter("k = 1").select("doc", "gx", "gy", "text", "confidence", "score")
 
 
+def merged_text(boxes: DataFrame, cell: int = CELL) -> DataFrame:
+    """(doc, text, confidence): the texts that won their cells, by rows of cells, and their mean confidence."""
+    won = merge_votes(boxes, cell).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("gy", "gx", "text"))).alias("t"), F.avg("confidence").alias("confidence"))
+    return won.select("doc", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "confidence")
+
+
 def dedupe(boxes: DataFrame, cell: int = 20) -> DataFrame:
     w = Window.partitionBy("doc", F.floor(cx() / cell), F.floor(cy() / cell)).orderBy(F.desc("confidence"), "seq")
     return boxes.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.files import mime_type
+from docloom.operators.files import extension, mime_type, validated
 
 ALLOWED = "*.{pdf,png,jpg,jpeg,tiff,tif}"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -25,6 +25,53 @@ def landing(spark: SparkSession, path: str, files_per_trigger: int = 100) -> Dat
     return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", ALLOWED).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def stored(rows: DataFrame, received: str, root: str) -> DataFrame:
+    """Uploads that may come in, with the place where each is kept: a new name under year, month and day."""
+    ok = validated(rows, "path", "length").filter("valid")
+    name = F.concat(F.expr("uuid()"), extension(F.col("path")))
+    return ok.withColumn("file_path", F.concat_ws("/", F.lit(root), F.date_format(received, "yyyy/MM/dd"), name))
+
+
+def download(documents: DataFrame, document_id, read=files) -> DataFrame:
+    """The original file of one document (no row where the document or its file is not there)."""
+    row = documents.filter(F.col("id") == F.lit(document_id)).select("file_path", "original_filename").first()
+    spark = documents.sparkSession
+    if row is None:
+        return spark.createDataFrame([], f"{FILE_SCHEMA}, original_filename string")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["file_path"])
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{FILE_SCHEMA}, original_filename string")
+    return read(spark, row["file_path"], "*").select("path", "modificationTime", "length", "content", F.lit(row["original_filename"]).alias("original_filename"))
+
+
+def from_database(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options) -> DataFrame:
+    """A table of a database; with a numeric key and its bounds it is read in so many parts at once."""
+    options |= {"url": url, "dbtable": name}
+    if key and bounds:
+        options |= {"partitionColumn": key, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": parts}
+    return spark.read.format("jdbc").options(**options).load()
+
+
+def to_database(rows: DataFrame, url: str, name: str, mode: str = "append", parts: int = 8, **options) -> None:
+    """Rows into a table of a database, over at most so many connections, in batches that commit on their own."""
+    rows.coalesce(parts).write.format("jdbc").options(url=url, dbtable=name, batchsize=10_000, **options).mode(mode).save()
+
+
+def health(spark: SparkSession, streams: list | None = None, probes: dict[str, Callable[[], object]] | None = None) -> dict[str, str]:
+    """State by component: the engine, each named stream, and whatever probes are given; a probe that raises is unhealthy."""
+    out = {}
+    checks: dict[str, Callable[[], object]] = {"engine": lambda: spark.sql("SELECT 1").first()} | (probes or {})
+    for name, check in checks.items():
+        try:
+            check()
+            out[name] = "healthy"
+        except Exception as e:  # noqa: BLE001  whatever a probe raises
+            out[name] = f"unhealthy: {e}"[:200]
+    for q in streams or []:
+        out[f"stream {q.name or q.id}"] = "healthy" if q.isActive else "unhealthy: " + (str(q.exception())[:150] if q.exception() else "not running")
+    return out
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Images as BGR bytes with shape."""
     return spark.read.format("image").load(path).select(F.col("image.origin").alias("origin"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))

@@ -3,6 +3,7 @@
 import json
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,123 @@ def test_suppression_by_edit_ratio(spark):
         assert [tuple(r)[:2] for r in L.suppress(boxes(spark, none)).collect()] == [(None, 0)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+# --- recognition, pages, reconstruction ------------------------------------------------------------------
+def image_rows(spark, *imgs):
+    rows = [(f"f{k}", i.shape[0], i.shape[1], 1 if i.ndim == 2 else i.shape[2], bytearray(np.ascontiguousarray(i).tobytes())) for k, i in enumerate(imgs)]
+    return spark.createDataFrame(rows, "origin string, height int, width int, channels int, data binary")
+
+
+def test_flattened_page():
+    img = np.zeros((400, 400, 3), np.uint8)
+    y, x = np.mgrid[:400, :400]
+    page = (x > 60 + y // 10) & (x < 320 - y // 20) & (y > 50) & (y < 350)
+    img[page] = 230
+    flat = I.flattened(img)
+    assert (flat > 200).mean() > 0.97 and 230 <= flat.shape[1] <= 270 and 280 <= flat.shape[0] <= 305
+    small = np.zeros((90, 90), np.uint8)
+    small[20:60, 20:60] = 255
+    assert I.flattened(small) is small and I.flattened(np.zeros((50, 50), np.uint8)).shape == (50, 50)
+
+
+def test_largest_part():
+    m = np.zeros((30, 30), bool)
+    m[2:5, 2:5] = m[10:20, 10:12] = m[18:20, 10:25] = m[10:20, 23:25] = True
+    want = m.copy()
+    want[2:5, 2:5] = False
+    assert (I.largest_part(m) == want).all()
+
+
+def test_colour_kernels():
+    r = np.random.default_rng(3)
+    img = r.integers(0, 256, (40, 50, 3)).astype(np.uint8)
+    assert I.denoised_colour(img).shape == img.shape and I.clahe_colour(img).shape == img.shape
+    one = np.full((40, 50, 3), 90, np.uint8)
+    assert (I.denoised_colour(one) == one).all()
+    g = r.integers(0, 256, (40, 50)).astype(np.uint8)
+    assert (I.clahe_colour(g) == I.clahe(g)).all()
+
+
+def test_recognised_variants_and_merged_text(spark):
+    img = np.full((60, 80), 255, np.uint8)
+
+    def recognise(v):
+        if v.shape[0] > 60:
+            return [("big", 0.7, 40.0 * v.shape[1] / 80, 0.0, 8.0 * v.shape[1] / 80, 8.0)]
+        if v.min() == 255 and v.ndim == 2:
+            return [("A ", 0.9, 0.0, 0.0, 10.0, 10.0), ("B", 0.8, 40.0, 40.0, 10.0, 10.0)]
+        raise RuntimeError("fails")
+
+    got = I.recognised(image_rows(spark, img), recognise).collect()
+    assert {r["variant"] for r in got} >= {"original", "enlarged"} and all(abs(r["x"] - 40) < 1e-6 for r in got if r["text"] == "big")
+    b = boxes(spark, [(1, 0, "two", 0.9, 100.0, 0.0, 4.0, 4.0), (1, 1, "one", 0.7, 0.0, 0.0, 4.0, 4.0), (1, 2, "three", 0.8, 0.0, 90.0, 4.0, 4.0)])
+    row = L.merged_text(b).first()
+    assert row["text"] == "one two three" and abs(row["confidence"] - 0.8) < 1e-9
+
+
+def test_verified_pages(spark):
+    img = np.full((120, 200), 255, np.uint8)
+    I.bar_text(img, "abc def", 20, 30, 70, 16, 1.0)
+    rows = [("f0", 0, "abc def", 0.95, 20.0, 30.0, 70.0, 20.0)]
+    b = spark.createDataFrame(rows, "origin string, seq long, text string, confidence double, x double, y double, w double, h double")
+    good = I.verified(image_rows(spark, img), b).first()
+    none = I.verified(image_rows(spark, img), b.limit(0)).first()
+    assert good["overall"] > 97 and good["overall"] > none["overall"]
+    assert I.write_files(image_rows(spark, img, np.zeros((2, 3, 3), np.uint8)), "out").select("name").collect()[1][0] == "out/f1.ppm"
+
+
+# --- stores ------------------------------------------------------------------------------------------
+def test_uploads_and_downloads(spark, tmp_path):
+    from docloom.sources import readers as R
+
+    (tmp_path / "x.pdf").write_bytes(b"abc")
+    rows = spark.createDataFrame([("up/A.PDF", 10, dt.datetime(2024, 3, 5)), ("up/a.exe", 10, dt.datetime(2024, 3, 5)), ("b.png", 1 << 30, dt.datetime(2024, 3, 5))], "path string, length long, at timestamp")
+    got = R.stored(rows, "at", "/data").collect()
+    assert len(got) == 1 and got[0]["file_path"].startswith("/data/2024/03/05/") and got[0]["file_path"].endswith(".pdf")
+    docs = spark.createDataFrame([(1, f"file://{tmp_path}/x.pdf", "mine.pdf"), (2, f"file://{tmp_path}/none.pdf", "no.pdf")], "id long, file_path string, original_filename string")
+    row = R.download(docs, 1).first()
+    assert (bytes(row["content"]), row["original_filename"]) == (b"abc", "mine.pdf") and R.download(docs, 2).count() == 0 and R.download(docs, 3).count() == 0
+
+
+def test_database_round_trip(spark):
+    from docloom.sources import readers as R
+
+    url = "jdbc:derby:memory:docloom;create=true"
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(100)], "id long, name string")
+    R.to_database(df, url, "things", "overwrite", parts=2)
+    R.to_database(df.filter("id < 5"), url, "things")
+    back = R.from_database(spark, url, "things", "id", (0, 100), 4)
+    assert back.count() == 105 and back.rdd.getNumPartitions() == 4 and back.filter("id = 3").count() == 2
+
+
+def test_health(spark):
+    from docloom.sources import readers as R
+
+    def down():
+        raise OSError("gone")
+
+    assert R.health(spark, probes={"model": down, "store": lambda: 1}) == {"engine": "healthy", "model": "unhealthy: gone", "store": "healthy"}
+
+
+def test_one_bad_file_does_not_take_its_batch(spark, tmp_path):
+    from docloom.sources.readers import landing
+
+    (tmp_path / "in").mkdir()
+    for k in range(6):
+        (tmp_path / "in" / f"f{k}.pdf").write_bytes(b"Invoice number 1")
+
+    def recognise(df):
+        bad = F.col("path").endswith("f3.pdf")
+        return df.select("path", F.when(bad, F.raise_error(F.lit("torn file"))).otherwise(F.lit("Invoice number 1")).alias("text"), F.lit(0.9).alias("confidence"))
+
+    q = P.ingest(landing(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), recognise, lambda df: df.select("path", F.lit("invoice").alias("document_type")), wait=0.0)
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/documents")).count() == 5
+    bad = spark.read.parquet(str(tmp_path / "out/quarantine")).collect()
+    assert len(bad) == 1 and bad[0]["path"].endswith("f3.pdf") and "torn file" in bad[0]["error_log"]
+
+
+def test_lists_as_shown(spark):
+    assert one(spark, X.displayed_list(F.array(*map(F.lit, "abcdefg")))) == "a, b, c, d, e"
+    assert one(spark, X.displayed_list(F.array().cast("array<string>"))) is None
