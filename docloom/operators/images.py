@@ -17,7 +17,7 @@ def _byte(x: np.ndarray) -> np.ndarray:
 
 def gray(img: np.ndarray) -> np.ndarray:
     """Luma of BGR; images of one channel stay."""
-    return img if img.ndim == 2 else _byte(img[..., :3] @ np.array([0.114, 0.587, 0.299]))
+    return img if img.ndim == 2 else ((img[..., :3].astype(np.int32) @ np.array([114, 587, 299], np.int32) + 500) // 1000).astype(np.uint8)
 
 
 def _windows(img: np.ndarray, n: int) -> np.ndarray:
@@ -331,6 +331,12 @@ def verify(img: np.ndarray, boxes: list[tuple], draw=bar_text, passes: int = 3,
 
 #: How dark a faint part is, of 255.
 FAINT = 40
+def heat_map(difference: np.ndarray) -> np.ndarray:
+    """Differences in colour: blue for none, green for half, red for all."""
+    d = difference.astype(int)
+    return np.stack([255 - d, 255 - np.abs(2 * d - 255), d], axis=-1).astype(np.uint8)
+
+
 KERNELS = {
     "gray": gray,
     "shadow_free": shadow_free,
@@ -347,6 +353,9 @@ KERNELS = {
     "denoise_colour": denoised_colour,
     "clahe_colour": clahe_colour,
     "flatten": flattened,
+    "gamma": lambda img: gamma(img, 1.2),
+    "heat": lambda img: heat_map(gray(img)),
+    "upside_down": lambda img: img[::-1, ::-1],
     "text_mask": lambda img: np.where(text_mask(img), 255, 0).astype(np.uint8),
 }
 #: The usual order before recognition.
@@ -430,6 +439,25 @@ def verified(images: DataFrame, boxes: DataFrame, draw=bar_text) -> DataFrame:
     return joined.mapInPandas(run, "origin string, ssim double, pixel_match double, text_match double, overall double")
 
 
+def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(origin, ssim, pixel_match, text_match, overall, difference) of pictures of one size and name."""
+    columns = ("height", "width", "channels", "data")
+    b = right.select("origin", *[right[c].alias(f"b_{c}") for c in columns])
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples():
+                x, y = (np.frombuffer(d, np.uint8).reshape(h, w, c) for h, w, c, d in ((r.height, r.width, r.channels, r.data), (r.b_height, r.b_width, r.b_channels, r.b_data)))
+                x, y = (z[..., 0] if z.shape[2] == 1 else z for z in (x, y))
+                found = compare(x, y)
+                out.append((r.origin, *(found[c] for c in ("ssim", "pixel_match", "text_match", "overall")), difference_map(x, y).tobytes()))
+            yield pd.DataFrame(out, columns=["origin", "ssim", "pixel_match", "text_match", "overall", "difference"])
+
+    joined = left.select("origin", *columns).join(b, "origin")
+    return joined.mapInPandas(run, "origin string, ssim double, pixel_match double, text_match double, overall double, difference binary")
+
+
 def write_files(images: DataFrame, folder: str) -> DataFrame:
     """(origin, name, content): portable gray or colour maps of image rows, ready for a binary sink."""
 

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from docloom.plans import relational, texts  # noqa: E402, F401
+from docloom.plans import pictures, relational, texts  # noqa: E402, F401
