@@ -2,6 +2,14 @@
 
 Every stage but the last returns the columns of documents. Stages are written as Parquet in the shared
 folder and read again, so a lost executor never costs more than the stage it worked on.
+
+Defined cases, for each stage: columns other than doc_id and text may be null or have any name, and pass through;
+an empty table stays empty. A null or empty text is not toxic, near nothing, repeats nothing and holds no benchmark
+item, and packs as the end id alone. Rows without doc_id are kept by near-duplicate removal and judged like any other by
+all other stages. Rows that share a doc_id are documents of their own. Of rows that repeat id and text,
+the toxicity, near-duplicate and benchmark stages keep all or none; the suffix stage leaves the text of one if it is
+long enough to be a passage. Ties: of a group of near copies the smallest doc_id stays; of a repeated passage the first by
+doc_id and place. Very long texts are read whole by every stage.
 """
 
 from __future__ import annotations
@@ -18,22 +26,22 @@ CAPACITY = 2048
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from this stage's labelled rows, rejects go."""
+    """Documents that the toxicity model, learned from this stage's labelled rows, rejects go; null texts stay."""
     return toxicity.flag(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id."""
     return neardup.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated passages are cut; texts of which nothing is left go; n_chars follows."""
+    """Later copies of repeated passages are cut, characters whole; texts of which nothing is left go, empty ones stay; n_chars follows."""
     return suffix.cut_repeats(docs, PASSAGE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item (four fifths of its five-word shingles) go."""
+    """Documents that hold a benchmark item (four fifths of its five-word shingles) go, with or without doc_id."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,7 +58,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Learning, MinHash and packing have no SQL; the stages are tested against brute force instead.
+#: Learning, MinHash and packing have no SQL; each stage is tested against brute force instead.
 ORACLE_SQL = None
 
 
