@@ -224,9 +224,9 @@ def clahe_colour(img: np.ndarray) -> np.ndarray:
     return _luma(img, clahe)
 
 
-def largest_part(mask: np.ndarray) -> np.ndarray:
-    """The largest part of a mask whose pixels touch by a side: labels take the least of their neighbours' along
-    rows and columns until none changes."""
+def parts(mask: np.ndarray) -> np.ndarray:
+    """A number for each part of a mask whose pixels touch by a side, and mask.size elsewhere: numbers are
+    carried along rows and columns, the least wins, until none changes."""
     n = mask.size
     label = np.where(mask, np.arange(n).reshape(mask.shape), n)
     while True:
@@ -240,11 +240,32 @@ def largest_part(mask: np.ndarray) -> np.ndarray:
                 x = np.moveaxis(x, 0, axis)
                 label = np.flip(x, axis) if flip else x
         if (label == before).all():
-            break
-    ids, counts = np.unique(label[label < n], return_counts=True)
+            return label
+
+
+def largest_part(mask: np.ndarray) -> np.ndarray:
+    label = parts(mask)
+    ids, counts = np.unique(label[label < mask.size], return_counts=True)
     return label == ids[counts.argmax()] if len(ids) else mask
 
 
+def equation_regions(img: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h) that may be displayed equations, from top to bottom: dark pixels joined across 20 columns
+    and 5 rows, whose parts are wide and low enough."""
+    ink = otsu(img) == 0
+    for axis, n in ((0, 5), (1, 20)):
+        p = np.pad(ink, [(n // 2, n - 1 - n // 2) if k == axis else (0, 0) for k in (0, 1)])
+        ink = np.lib.stride_tricks.sliding_window_view(p, n, axis=axis).any(-1)
+    label = parts(ink)
+    out = []
+    for k in np.unique(label[label < ink.size]):
+        y, x = np.nonzero(label == k)
+        box = (int(x.min()), int(y.min()), int(np.ptp(x)) + 1, int(np.ptp(y)) + 1)
+        if 200 < box[2] < 800 and 20 < box[3] < 150:
+            out.append(box)
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
 def page_corners(img: np.ndarray) -> np.ndarray | None:
     """Corners (x, y) of the largest bright area, from the upper left clockwise; null unless they make a convex
     shape of 1000 pixels or more that fills most of the area."""

@@ -82,12 +82,22 @@ def page_text(laid_out: Column, merged: Column, equations: Column | None = None)
 
 
 def machine_readable_lines(lines_: Column, document_type: Column) -> Column:
-    """The first two lines of 28 characters or more, blanks as <; null with fewer or for other types."""
+    """The first two lines of 28 characters or more, blanks as <; null with fewer or for other types. A type that is
+    not known may be one of them."""
     long = F.filter(F.transform(lines_, lambda s: F.replace(F.upper(s), F.lit(" "), F.lit("<"))), lambda s: F.length(s) >= 28)
-    known = document_type.isin("passport", "travel_document", "id_card")
+    known = F.lower(F.coalesce(document_type, F.lit(""))).isin("", "passport", "travel_document", "id_card")
     return F.when(known & (F.size(long) >= 2), F.array_join(F.slice(long, 1, 2), "\n"))
 
 
+def machine_readable(boxes: DataFrame, height: float, document_type: Column) -> DataFrame:
+    """(doc, mrz) from the boxes of the bottom fifth of a page, line by line; document_type is a column of boxes."""
+    low = lines(boxes.withColumn("_type", document_type).filter(cy() >= 0.8 * height))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
+    by_line = low.groupBy("doc", "line").agg(text.alias("text"), F.first("_type").alias("_type"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: s["text"])
+    return by_line.groupBy("doc").agg(machine_readable_lines(in_order, F.first("_type")).alias("mrz"))
+
+
 # Fixed values in what follows: areas, confidences and shares.
 def is_watermark(width: float, height: float) -> Column:
     c, n = F.col("confidence"), F.length("text")

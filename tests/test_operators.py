@@ -399,3 +399,46 @@ def test_one_bad_file_does_not_take_its_batch(spark, tmp_path):
 def test_lists_as_shown(spark):
     assert one(spark, X.displayed_list(F.array(*map(F.lit, "abcdefg")))) == "a, b, c, d, e"
     assert one(spark, X.displayed_list(F.array().cast("array<string>"))) is None
+
+
+def test_equation_regions():
+    img = np.full((300, 900), 255, np.uint8)
+    img[50:90, 100:400:12] = 0  # a row of strokes
+    img[50:90, 101:400:12] = 0
+    img[200:210, 20:60] = 0  # too small
+    found = I.equation_regions(img)
+    assert len(found) == 1 and abs(found[0][0] - 91) <= 12 and 300 <= found[0][2] <= 330 and 40 <= found[0][3] <= 46
+
+
+def test_machine_readable_zone(spark):
+    a, b = "P<USASMITH JOHN" + "<" * 25, "1234567890USA" + "<" * 20
+    rows = [(1, 0, "title that is longer than most of the others", 0.9, 0.0, 0.0, 50.0, 10.0), (1, 1, b, 0.9, 0.0, 95.0, 50.0, 4.0), (1, 2, a, 0.9, 0.0, 79.0, 50.0, 4.0), (2, 0, a, 0.9, 0.0, 90.0, 5.0, 4.0)]
+    got = lambda kind: {r["doc"]: r["mrz"] for r in L.machine_readable(boxes(spark, rows), 100.0, F.lit(kind)).collect()}
+    assert got("Passport") == got(None) == {1: a.replace(" ", "<") + "\n" + b, 2: None} and got("invoice")[1] is None
+
+
+def test_sound_codes_of_all_words(spark):
+    """The expression against the plain rule, over every word of the texts."""
+    from docloom.plans import catalog
+
+    rows = catalog.QUERIES["T_sound_codes"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 1000 and all(r["code"] == C.sound(r["w"]) for r in rows)
+
+
+def test_misspelled_keywords_by_brute_force(spark, monkeypatch):
+    """Verdicts with every keyword compared with every word by the whole table of edits."""
+
+    def ratio(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return 1 - row[-1] / max(len(a), len(b))
+
+    keywords = sorted({k for ks in C.KEYWORDS.values() for k in ks if len(k) >= 4})
+    texts = [r["text"][:600] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(25).collect()] + ["invoce numbr and recept, diagnosys of the patiant", "passprt natonality"]
+    fast = [C.verdict(t) for t in texts]
+    monkeypatch.setattr(C, "close_keywords", lambda w: [k for k in keywords if ratio(k, w) >= 0.7])
+    assert [C.verdict(t) for t in texts] == fast
