@@ -175,9 +175,9 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
             yield as_batch({"v": n[n != r], "u": r[n != r]}, target)
 
     e = stage.write(edges.select("a", "b").mapInArrow(contract, "v long, u long").distinct(), f"{name}-0")
-    k = 0
+    k, files = 0, max(1, -(-e.count() // 100_000))  # no more files than there are rows for
     while True:
-        parent = stage.write(e.groupBy("v").agg(F.min("u").alias("p")), f"{name}-p{k}")  # written, so that a hot u can be split in the join
+        parent = stage.write(e.groupBy("v").agg(F.min("u").alias("p")).coalesce(files), f"{name}-p{k}")  # written, so that a hot u can be split in the join
         up = parent.select(F.col("v").alias("u"), F.col("p").alias("pu"))
         joined = e.join(up, "u", "left").join(parent, "v")
         state = joined.agg(F.count_if(F.col("pu").isNotNull() | (F.col("u") != F.col("p"))).alias("open")).first()
@@ -192,7 +192,7 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
             ).alias("e")
         ).select(F.greatest("e.x", "e.y").alias("v"), F.least("e.x", "e.y").alias("u"))
         k += 1
-        e = stage.write(moved.filter("v <> u").distinct(), f"{name}-{k}")
+        e = stage.write(moved.filter("v <> u").distinct().coalesce(files), f"{name}-{k}")
         stage.drop(f"{name}-{k - 1}", f"{name}-p{k - 1}")
     roots = e.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)

@@ -135,8 +135,10 @@ def groups_of(docs: DataFrame, stage: Stage, k: int, percent: int, bands: int, r
     outer = parts.filter("out").join(rest, "gid").withColumn("own", deal("cu")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cu") + F.col("cm") - 1)))
     outer = outer.select("node", "gid", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
     inner = parts.filter("not out").join(rest, "gid").withColumn("own", deal("cm") + F.col("cu")).withColumn("i", F.explode(upto("cu"))).withColumn("j", F.col("own")).select(*columns)
-    links = found.unionByName(verify(outer.unionByName(inner), "more")) if not rest.isEmpty() else found
-    roots = components(links, stage, "links")
+    if rest.isEmpty():
+        roots = joined.withColumnRenamed("part", "root")
+    else:
+        roots = components(found.unionByName(verify(outer.unionByName(inner), "more")), stage, "links")
     stage.drop("buckets", "met", "members", "large", "parts")
     grouped = classes.join(roots, "node", "left").select("n", "f1", "f2", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component"))
