@@ -644,6 +644,7 @@ def test_cells_hold_every_partner(dim, spread):
 
 # --- pipeline --------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
+    """Each stage against the plain rule, on what the one before it kept."""
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -652,11 +653,46 @@ def test_pipeline_stages(spark, tmp_path):
         out = step(spark, docs, SF)
         out.write.parquet(str(tmp_path / str(k)))
         before, docs = docs, spark.read.parquet(str(tmp_path / str(k)))
+        was, now = ({r["doc_id"]: r for r in d.collect()} for d in (before, docs))
         if k < 4:
             assert docs.columns == columns
             kept.append(docs.count())
+        if k == 0:
+            scored = toxicity.score(before, toxicity.learn(before, spark.read.parquet(f"{SF}/labels.parquet")))
+            assert set(now) == {r["doc_id"] for r in scored.collect() if r["score"] < 0.5}
         if k == 1:
-            sets, want = brute_components([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80)
-            assert {r["doc_id"] for r in docs.collect()} == {i for i, c in want.items() if i == c}
+            sets, want = brute_components([(i, r["text"]) for i, r in was.items()], 5, 80)
+            assert set(now) == {i for i, c in want.items() if i == c}
+        if k == 2:
+            gone = brute_spans(sorted((i, r["text"]) for i, r in was.items()), cp.PASSAGE, "first")
+            for i, r in was.items():
+                left = "".join(c for c, at in zip(r["text"], np.cumsum([0] + [len(c.encode()) for c in r["text"]])) if not gone[i] & set(range(at, at + len(c.encode()))))
+                assert now[i]["text"] == left and now[i]["n_chars"] == (len(left) if gone[i] else r["n_chars"]) if left.strip() or not gone[i] else i not in now
+        if k == 3:
+            items = [shingle_set(r["text"], 5) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert set(now) == {i for i, r in was.items() if not any(s and len(shingle_set(r["text"], 5) & s) >= 0.8 * len(s) for s in items)}
+        if k == 4:
+            n = {i: len(x) + 1 for i, x in zip(was, reference_ids([r["text"] for r in was.values()]))}
+            rows = docs.collect()
+            assert {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in n} == n
+            assert all(x == "doc_id" or x in docs.columns for x in ("sequence_id", "offset"))
+            assert len({r["sequence_id"] for r in rows}) <= math.ceil(sum(n.values()) / cp.CAPACITY) * 11 / 9 + 1
     assert kept == sorted(kept, reverse=True) and docs.count() >= kept[-1]
     assert cp.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empties, repeated rows, very long texts and clashing columns pass through all stages; so does nothing."""
+    import corpus_pipeline as cp
+
+    wide = odd.withColumn("n_chars", F.length("text").cast("long")).withColumn("text_2", F.lit("x")).withColumn("row", F.lit(1)).withColumn("t", F.lit(2))
+    for docs in (wide, wide.limit(0)):
+        for k, (name, step) in enumerate(cp.STAGES):
+            out = step(spark, docs, SF)
+            path = str(tmp_path / f"{name}-{docs is wide}-{k}")
+            out.write.mode("overwrite").parquet(path)
+            if k < 4:
+                assert out.columns == wide.columns
+                docs = spark.read.schema(out.schema).parquet(path)
+    texts = [r["doc_id"] for r in wide.collect()]
+    assert len(texts) == 8
