@@ -123,6 +123,19 @@ def equation_candidates(boxes: DataFrame) -> DataFrame:
     return boxes.filter("w > 200 AND w < 800 AND h > 20 AND h < 150").withColumn("pos", F.row_number().over(w).cast("long"))
 
 
+def overlaps(boxes: DataFrame, cell: int = 128) -> DataFrame:
+    """(doc, a, b, inter) of boxes of a document that share some area. Boxes meet in the cells of a grid that they
+    cover, and a pair counts in the cell where what it shares begins, so far boxes never meet."""
+    span = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell)))
+    placed = boxes.select("doc", "seq", "x", "y", "w", "h", span("x", "w").alias("gx")).withColumn("gy", span("y", "h"))
+    p, q = placed.alias("p"), placed.alias("q")
+    met = p.join(q, (F.col("p.doc") == F.col("q.doc")) & (F.col("p.gx") == F.col("q.gx")) & (F.col("p.gy") == F.col("q.gy")) & (F.col("p.seq") < F.col("q.seq")))
+    begin = {a: F.greatest(f"p.{a}", f"q.{a}") for a in "xy"}
+    side = {a: F.least(F.col(f"p.{a}") + F.col(f"p.{n}"), F.col(f"q.{a}") + F.col(f"q.{n}")) - begin[a] for a, n in ("xw", "yh")}
+    here = (F.floor(begin["x"] / cell) == F.col("p.gx")) & (F.floor(begin["y"] / cell) == F.col("p.gy"))
+    return met.filter((side["x"] > 0) & (side["y"] > 0) & here).select("p.doc", F.col("p.seq").alias("a"), F.col("q.seq").alias("b"), (side["x"] * side["y"]).alias("inter"))
+
+
 def _alike(a: str, b: str) -> bool:
     """Is the edit ratio of two trimmed, lower-cased texts over 0.9; with an empty one it is not."""
     n = max(len(a), len(b))

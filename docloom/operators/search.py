@@ -15,15 +15,10 @@ from docloom.operators.documents import check_page
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lexeme, positions), positions from 1: the inverted index, to be written sorted by lexeme.
 
-    A document is one row, so its words are sorted and cut where they change within the row: no shuffle.
+    Texts are dealt out by key and their words grouped where they lie, so a text is shuffled once and its words never.
     """
-    words = tokens(F.col(text))
-    w = docs.select(F.col(key), words.alias("_w")).filter(F.size("_w") > 0)
-    s = w.select(key, F.array_sort(F.transform("_w", lambda x, i: F.struct(x.alias("w"), (i + 1).alias("p")))).alias("_s"))
-    s = s.select(key, "_s", F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.get("_s", i - 1)["w"] != F.get("_s", i - 2)["w"])).alias("_at"))
-    end = lambda i: F.coalesce(F.get("_at", i + 1), F.size("_s") + 1)
-    cut = F.transform("_at", lambda a, i: F.struct(F.get("_s", a - 1)["w"].alias("lexeme"), F.transform(F.slice("_s", a, end(i) - a), lambda x: x["p"]).alias("positions")))
-    return s.select(key, F.explode(cut).alias("_e")).select(key, "_e.lexeme", "_e.positions")
+    words = docs.select(key, text).repartition(key).select(key, F.posexplode(tokens(F.col(text))).alias("pos", "lexeme"))
+    return words.groupBy(key, "lexeme").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
 def words_of(q: str) -> list[str]:
