@@ -108,9 +108,47 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
-def reviewed(docs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """reviews: id, document_type (null: as it was). A review completes; a type from it is certain."""
-    r = reviews.select("id", F.col("document_type").alias("_type"), F.lit(True).alias("_seen"))
+def pending(files: DataFrame, key: str, *columns: str) -> DataFrame:
+    """New document rows, still to be processed: id, what is known of the file, status and tries."""
+    return files.select(F.col(key).alias("id"), *columns, F.lit("pending").alias("status"), F.lit(0).alias("retry_count"))
+
+
+def ocr_rows(results: DataFrame, key: str, found: Column, page: Column | None = None) -> DataFrame:
+    """One row for each of the texts that were found on a page; pages that are not told are the first."""
+    number = F.coalesce(page, F.lit(1)) if page is not None else F.lit(1)
+    return results.select(key, number.cast("int").alias("page_number"), F.explode(found).alias("text"))
+
+
+def recognised(docs: DataFrame, results: DataFrame) -> DataFrame:
+    """results: id, text, confidence, page_count. Text and confidence are replaced; a page count that is null or 0 leaves
+    the old one. The search index follows by `reindexed`."""
+    r = results.select("id", F.col("text").alias("_text"), F.col("confidence").alias("_confidence"), F.nullif("page_count", F.lit(0)).alias("_pages"), F.lit(True).alias("_seen"))
+    new = {"raw_text": "_text", "ocr_confidence": "_confidence"}
+    out = docs.join(r, "id", "left")
+    made = {c: F.when(F.col("_seen"), F.col(n)).otherwise(F.col(c)) for c, n in new.items()} | {"page_count": F.coalesce("_pages", "page_count")}
+    return out.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def reindexed(index: DataFrame, docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The search index (id, lexeme, positions) with the rows of changed documents made anew; others are not read again."""
+    from docloom.functions.stem import lexemes
+
+    new = lexemes(docs.join(changed.select("id"), "id", "left_semi"), "id", "raw_text")
+    return index.join(changed.select("id"), "id", "left_anti").unionByName(new)
+
+
+def classified(docs: DataFrame, results: DataFrame) -> DataFrame:
+    """results: id, document_type, confidence: both are replaced."""
+    r = results.select("id", F.col("document_type").alias("_type"), F.col("confidence").alias("_confidence"), F.lit(True).alias("_seen"))
+    made = {"document_type": "_type", "classification_confidence": "_confidence"}
+    return docs.join(r, "id", "left").select(*[(F.when(F.col("_seen"), F.col(made[c])).otherwise(F.col(c)) if c in made else F.col(c)).alias(c) for c in docs.columns])
+
+
+def reviewed(docs: DataFrame, reviews: DataFrame, at=None) -> DataFrame:
+    """reviews: id, document_type (null: as it was), and if there are such columns by (who) and data (the fields as
+    corrected). A review completes; a type from it is certain."""
+    has = set(reviews.columns)
+    r = reviews.select("id", F.col("document_type").alias("_type"), F.lit(True).alias("_seen"), *[F.col(c).alias(f"_{c}") for c in ("by", "data") if c in has])
     out = docs.join(r, "id", "left")
     return out.select(
         "id",
@@ -118,6 +156,8 @@ def reviewed(docs: DataFrame, reviews: DataFrame) -> DataFrame:
         F.coalesce("_type", "document_type").alias("document_type"),
         F.when(F.col("_type").isNotNull(), 1.0).otherwise(F.col("classification_confidence")).alias("classification_confidence"),
         F.coalesce("_seen", F.lit(False)).alias("is_validated"),
+        *([F.col("_by").alias("validated_by"), F.when(F.col("_seen"), F.lit(at)).alias("validated_at")] if "by" in has else []),
+        *([F.coalesce("_data", *(["data"] if "data" in docs.columns else [])).alias("data")] if "data" in has else []),
     )
 
 

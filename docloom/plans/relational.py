@@ -274,7 +274,7 @@ def a18(spark, sf_dir):
 # --- writes --------------------------------------------------------------------------------------
 @query("W1_insert_pending", "SELECT doc_id AS id, 'pending' AS status, 0 AS retry_count FROM documents")
 def w1(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("pending").alias("status"), F.lit(0).alias("retry_count"))
+    return D.pending(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query(
@@ -290,7 +290,7 @@ def w2(spark, sf_dir):
 
 @query("W3_insert_ocr_rows", "SELECT doc_id, CAST(1 AS INT) AS page_number, unnest(string_split(text, chr(10))) AS line FROM documents")
 def w3(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.explode(F.split("text", "\n")).alias("line"))
+    return D.ocr_rows(table(spark, sf_dir, "documents"), "doc_id", F.split("text", "\n")).withColumnRenamed("text", "line")
 
 
 @query(
@@ -306,27 +306,50 @@ def w4(spark, sf_dir):
     return D.set_status(d, changes, NOW).select("id", "status", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("processing_started_at", "processing_completed_at")])
 
 
-@query("W5_ocr_update", "SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE CAST(doc_id % 3 AS INT) END AS page_count FROM documents")
+def texts_of(spark, sf_dir):
+    """documents with the texts of a first recognition, and what a second one gives for some of them."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("old words").alias("raw_text"), F.lit(0.5).alias("ocr_confidence"), F.lit(1).alias("page_count"))
+    again = table(spark, sf_dir, "documents").filter("doc_id % 4 <> 3")
+    return d, again.select(F.col("doc_id").alias("id"), "text", F.lit(0.9).alias("confidence"), (F.col("doc_id") % 3).cast("int").alias("page_count"))
+
+
+@query("W5_ocr_update", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 9 ELSE length(text) END AS n, CASE WHEN doc_id % 4 = 3 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS confidence, CASE WHEN doc_id % 4 = 3 OR doc_id % 3 = 0 THEN 1 ELSE CAST(doc_id % 3 AS INT) END AS page_count FROM documents")
 def w5(spark, sf_dir):
-    n = F.col("doc_id") % 3
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.when(n == 0, 1).otherwise(n).cast("int").alias("page_count"))
+    new = D.recognised(*texts_of(spark, sf_dir))
+    return new.select(F.col("id").alias("doc_id"), F.length("raw_text").cast("long").alias("n"), F.col("ocr_confidence").alias("confidence"), "page_count")
+
+
+@query("W5_index_update", "SELECT count(*) AS docs, CAST(sum(CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 0 END) AS BIGINT) AS old_rows FROM documents WHERE doc_id % 4 = 3 OR length(regexp_replace(lower(text), '[^a-z]', '', 'g')) > 200")
+def w5_index(spark, sf_dir):
+    """The search index after the update: documents with words in it, and rows that the old texts still have."""
+    from docloom.functions.stem import lexemes
+
+    old, again = texts_of(spark, sf_dir)
+    new = D.reindexed(lexemes(old, "id", "raw_text"), D.recognised(old, again), again)
+    long = table(spark, sf_dir, "documents").filter("doc_id % 4 = 3 OR length(regexp_replace(lower(text), '[^a-z]', '')) > 200").select(F.col("doc_id").alias("id"))
+    rows = new.join(long, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    return rows.agg(F.count("*").alias("docs"), F.sum(F.when(F.col("id") % 4 == 3, F.col("n")).otherwise(0)).alias("old_rows"))
 
 
 @query("W6_classification_update", WITH + "SELECT id, CASE WHEN id % 2 = 0 THEN 'legal' ELSE document_type END AS document_type, CASE WHEN id % 2 = 0 THEN 0.9 ELSE classification_confidence END AS confidence FROM d")
 def w6(spark, sf_dir):
-    even = F.col("id") % 2 == 0
-    return docs(spark, sf_dir).select("id", F.when(even, "legal").otherwise(F.col("document_type")).alias("document_type"), F.when(even, 0.9).otherwise(F.col("classification_confidence")).alias("confidence"))
+    d = docs(spark, sf_dir)
+    named = d.filter("id % 2 = 0").select("id", F.lit("legal").alias("document_type"), F.lit(0.9).alias("confidence"))
+    return D.classified(d, named).select("id", "document_type", F.col("classification_confidence").alias("confidence"))
 
 
 @query(
     "W7_review",
     WITH
     + """SELECT id, CASE WHEN id % 3 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN 'legal' ELSE document_type END AS document_type,
-    CASE WHEN id % 6 = 0 THEN 1.0 ELSE classification_confidence END AS classification_confidence, id % 3 = 0 AS is_validated FROM d""",
+    CASE WHEN id % 6 = 0 THEN 1.0 ELSE classification_confidence END AS classification_confidence, id % 3 = 0 AS is_validated,
+    CASE WHEN id % 3 = 0 THEN 'user' || CAST(id % 7 AS VARCHAR) END AS validated_by, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01' END AS validated_at, CASE WHEN id % 3 = 0 THEN '{"id": ' || CAST(id AS VARCHAR) || '}' END AS data FROM d""",
 )
 def w7(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return D.reviewed(d, d.filter("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, "legal").alias("document_type")))
+    by, data = F.concat(F.lit("user"), (F.col("id") % 7).cast("string")), F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit("}"))
+    out = D.reviewed(d, d.filter("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, "legal").alias("document_type"), by.alias("by"), data.alias("data")), NOW)
+    return out.withColumn("validated_at", F.col("validated_at").cast("timestamp_ntz"))
 
 
 @query("W8_delete_cascade", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 10 <> 0) AS docs, (SELECT count(*) FROM lineitem WHERE l_orderkey % 10 <> 0) AS rows_left")
