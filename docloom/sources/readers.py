@@ -77,16 +77,45 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").load(path).select(F.col("image.origin").alias("origin"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def render_pages(rows: DataFrame, renderer: Callable[[bytes], Iterator[bytes]]) -> DataFrame:
-    """One row for each page, from 1, of each file; the renderer yields pages and is called in the tasks."""
+def render_pages(rows: DataFrame, renderer: Callable[[bytes], Iterator[bytes]], at_once: int = 8, first: int = 1, last: int | None = None) -> DataFrame:
+    """One row for each page, from 1, of each file, or the pages of a range; the renderer yields pages and is
+    called in the tasks. A file that it fails on gives a row without page that names the error."""
 
     def run(it):
+        out: list[tuple] = []
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for k, page in enumerate(renderer(bytes(content)), 1):
-                    yield pd.DataFrame({"path": [path], "page": [k], "image": [page]})
+                try:
+                    for k, page in enumerate(renderer(bytes(content)), 1):
+                        if last is not None and k > last:
+                            break
+                        if k >= first:
+                            out.append((path, k, page, None))
+                        if len(out) >= at_once:
+                            yield pd.DataFrame(out, columns=["path", "page", "image", "error"])
+                            out = []
+                except Exception as e:  # noqa: BLE001  whatever a renderer raises
+                    out.append((path, None, None, str(e)[:200]))
+        if out:
+            yield pd.DataFrame(out, columns=["path", "page", "image", "error"])
+
+    return rows.select("path", "content").mapInPandas(run, "path string, page int, image binary, error string")
+
+
+def page_counts(rows: DataFrame, count: Callable[[bytes], int]) -> DataFrame:
+    """(path, page_count) by an injected counter; null where it fails."""
+
+    def number(content) -> int | None:
+        try:
+            return int(count(bytes(content)))
+        except Exception:  # noqa: BLE001  whatever a counter raises
+            return None
+
+    def run(it):
+        for pdf in it:
+            yield pd.DataFrame({"path": pdf["path"], "page_count": pd.array([number(c) for c in pdf["content"]], dtype="Int32")})
 
-    return rows.select("path", "content").mapInPandas(run, "path string, page int, image binary")
+    return rows.select("path", "content").mapInPandas(run, "path string, page_count int")
 
 
 def text_layer(pages: DataFrame) -> DataFrame:

@@ -442,3 +442,19 @@ def test_misspelled_keywords_by_brute_force(spark, monkeypatch):
     fast = [C.verdict(t) for t in texts]
     monkeypatch.setattr(C, "close_keywords", lambda w: [k for k in keywords if ratio(k, w) >= 0.7])
     assert [C.verdict(t) for t in texts] == fast
+
+
+def test_pages_of_files(spark):
+    from docloom.sources import readers as R
+
+    rows = spark.createDataFrame([("a", bytearray(b"p1|p2|p3")), ("b", bytearray(b"")), ("c", bytearray(b"x"))], "path string, content binary")
+
+    def render(content):
+        if content == b"x":
+            raise ValueError("torn")
+        yield from content.split(b"|") if content else ()
+
+    got = sorted((r["path"], r["page"] or 0, bytes(r["image"] or b""), r["error"]) for r in R.render_pages(rows, render, at_once=2).collect())
+    assert got == [("a", 1, b"p1", None), ("a", 2, b"p2", None), ("a", 3, b"p3", None), ("c", 0, b"", "torn")]
+    assert [r["page"] for r in R.render_pages(rows.filter("path = 'a'"), render, first=2, last=2).collect()] == [2]
+    assert {r["path"]: r["page_count"] for r in R.page_counts(rows, lambda c: len(list(render(c)))).collect()} == {"a": 3, "b": 0, "c": None}
