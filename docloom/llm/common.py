@@ -50,8 +50,8 @@ class Stage:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1024) -> DataFrame:
-    """mapInArrow with a function from one Arrow batch to a dict of columns."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1024, needs: str = "") -> DataFrame:
+    """mapInArrow with a function from one Arrow batch to a dict of columns; needs: as for `slices`."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -59,14 +59,22 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str,
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(it, rows):
+        for batch in slices(it, rows, needs):
             yield as_batch(f(batch), target)
 
     return df.mapInArrow(run, schema)
 
 
-def slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches of a bounded number of rows, so that Python copies of long texts stay small."""
+#: What a worker keeps from task to task, by name, and how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def slices(it: Iterator[pa.RecordBatch], rows: int = 1024, needs: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows, so that Python copies of long texts stay small.
+
+    Workers outlive an operator: what others left in this one is let go, but for what this one needs."""
+    for name in [k for k in KEPT if k != needs]:
+        KEPT.pop(name)()
     for batch in it:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)

@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
                 seen[task][length] += 1
         return out
 
-    return map_batches(docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("task")), run, schema, 256)
+    return map_batches(docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("task")), run, schema, 256, "tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -108,7 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: i
             return row
 
         size = 0
-        for batch in slices(it, 256):
+        for batch in slices(it, 256, "tokens"):
             of = encoder(tokenizer).encode_column(batch.column("text"))
             for doc, part, ids in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), of, strict=True):  # noqa: B007
                 held[0].append(doc)

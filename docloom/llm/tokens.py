@@ -19,7 +19,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from docloom.llm.common import mix64, text_bytes
+from docloom.llm.common import KEPT, mix64, text_bytes
 from docloom.llm.shingles import _BYTE, _WEIGHTS, _powers
 
 #: Units kept by a worker; a full cache starts anew.
@@ -233,6 +233,7 @@ def encoder(path: str) -> Encoder:
     """One encoder for each tokenizer file and Python worker."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+    KEPT["tokens"] = _LOADED.clear
     return _LOADED[path]
 
 

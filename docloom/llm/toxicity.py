@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options | None = None) ->
                 one = 1 << 32 if y > 0 else 1
                 for p in {""} | set(beginnings(set(WORD.findall(t.lower())) if t else ())):
                     own[p] = own.get(p, 0) + one
-            if len(own) > 300_000:
+            if len(own) > 150_000:
                 yield emit()
                 own = {}
         if own:
