@@ -165,7 +165,7 @@ def brute_components(rows, k, percent):
     return sets, groups(list(sets), [p for p, n in common.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)])
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3}, {"block": 20}, {"words_in_block": 500}])
+@pytest.mark.parametrize("options", [{}, {"block": 3}])
 def test_near_duplicates(spark, words, options):
     r = random.Random(5)
     base = [r.choice(words) for _ in range(120)]
@@ -564,7 +564,7 @@ def test_lm_equals_the_formula_where_seating_is_certain(spark):
 
 def test_lm_does_not_depend_on_chunks_or_frequent_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    runs = [{r["doc_id"]: r for r in lm.scores(docs, **o).collect()} for o in ({}, {"chunk": 20_000}, {"hot_share": 1.0}, {"bucket_bytes": 4000})]
+    runs = [{r["doc_id"]: r for r in lm.scores(docs, **o).collect()} for o in ({}, {"chunk": 20_000, "hot_share": 1.0, "bucket_bytes": 4000})]
     for other in runs[1:]:
         for i, r in runs[0].items():
             x = other[i]
