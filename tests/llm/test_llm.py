@@ -632,6 +632,49 @@ def test_vector_edges(spark):
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+def test_vectors_without_partners_stay(spark, monkeypatch):
+    """Of vectors without clusters only those with a partner are shuffled; each was copied to most cells of its label."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(4000, 64))
+    x[3800:] = x[:200] + r.normal(size=(200, 64)) * r.uniform(0.02, 0.4, (200, 1))
+    x[3000:3300] = x[3000] + r.normal(size=(300, 64)) * 0.15
+    moved, write = {}, vectors.Stage.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        moved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(vectors.Stage, "write", counted)
+    df = spark.createDataFrame([(k, v.tolist(), k % 200 % 2) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in vectors.near_duplicates(df).collect()}
+    unit, label = x / np.linalg.norm(x, axis=1)[:, None], np.arange(4000) % 200 % 2
+    i, j = np.nonzero(np.triu((unit @ unit.T >= 0.93) & (label[:, None] == label[None]), 1))
+    want, n = groups(range(4000), list(zip(i.tolist(), j.tolist(), strict=True))), Counter(np.concatenate([i, j]).tolist())
+    assert got == {k: (n[k], want[k]) for k in range(4000)}
+    assert len(n) <= moved["placed"] < 1000
+    exact = {v["vec_id"]: (v["n_links"], v["component_id"]) for v in vectors.near_duplicates(df, miss=0, block=500, cell=500).collect()}
+    assert exact == got
+
+
+@pytest.mark.parametrize("crowd", [2, 20, 1024])
+def test_cells_connect_whatever_is_near(monkeypatch, crowd):
+    monkeypatch.setattr(vectors, "CROWD", crowd)
+    r, n = np.random.default_rng(6), 600
+    sketch = r.integers(0, 2**62, (40, vectors.BITS // 64)).astype(np.uint64)[r.integers(0, 40, n)] ^ (np.uint64(1) << r.integers(0, 62, (n, vectors.BITS // 64)).astype(np.uint64))
+    node, short, codes = r.integers(0, 500, n), r.integers(0, 3, n).astype(np.uint16), r.integers(0, 4, (n, vectors.SETS)).astype(np.uint8)
+    _, half, most = vectors.plan(0.93, 5e-7)
+    a, b = vectors.near_in_cells(node, sketch, short, codes, half, most)
+    far = np.bitwise_count(sketch[:, None] ^ sketch[None]).sum(axis=-1)
+    i, j = np.nonzero((far <= most) & (short[:, None] == short[None]) & (codes[:, None] == codes[None]).any(axis=-1))
+    first = {}
+    for k in range(n):  # a node met again in a cell is the same vector
+        first.setdefault((node[k], short[k]), k)
+    kept = set(first.values())
+    pairs = [(node[p], node[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True) if p in kept and q in kept]
+    assert groups(set(node.tolist()), list(zip(a.tolist(), b.tolist(), strict=True))) == groups(set(node.tolist()), pairs)
+
+
 @pytest.mark.parametrize("dim,spread", [(2, 0.3), (3, 0.05), (16, 0.1), (64, 1.0)])
 def test_cells_hold_every_partner(dim, spread):
     r = np.random.default_rng(dim)
