@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -262,6 +263,25 @@ def test_passage_query_and_cut(spark, odd):
     assert suffix.remove_repeats(odd.limit(0), 100).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_anchor_stays_in_one_task_whatever_the_join(spark, keep):
+    """A join that turns into a broadcast one while it runs reads its shuffle where it was written."""
+    r = random.Random(3)
+    text = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n))
+    shared = [text(800) for _ in range(40)]
+    rows = [(i, text(300) + shared[i % 40] + text(300)) for i in range(160)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "24k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400, keep).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    got = {x["doc_id"]: {p for s in x["spans"] for p in range(s["start"], s["stop"])} for x in out}
+    assert got == brute_spans(rows, 400, keep)
+
+
 def test_first_copy_of_equal_rows(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, long, 1), (1, long, 2), (1, long, 3), (None, long, 4), (2, "short", 5), (2, "short", 6)]
