@@ -282,6 +282,19 @@ def test_anchor_stays_in_one_task_whatever_the_join(spark, keep):
     assert got == brute_spans(rows, 400, keep)
 
 
+def test_passage_under_two_anchors_is_no_copy_of_itself(spark):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choices(string.ascii_letters, k=n)).encode()
+    one = text(780)
+    near = [text(380) + one[380:740] + text(40) for _ in range(2)]  # 360 bytes in common, from the anchor on
+    rows = [(h, d, d, 0, 380, 380, 0, bytearray(b)) for h, d, b in ((1, 1, one), (1, 2, near[0]), (2, 1, one), (2, 3, near[1]))]
+    dealt = spark.createDataFrame(rows, "h long, doc_id long, t long, lo int, hi int, at int, origin int, body binary").coalesce(1)
+    assert suffix._blocks(dealt.sortWithinPartitions("h"), 400, "none").collect() == []
+    again = dealt.union(dealt.filter("h = 1 and doc_id = 1").selectExpr("h", "9L", "t", "lo", "hi", "at", "origin", "body")).coalesce(1)
+    found = suffix._blocks(again.sortWithinPartitions("h"), 400, "none").collect()
+    assert {(x["doc_id"], x["start"], x["stop"]) for x in found} == {(1, 0, 780), (9, 0, 780)}
+
+
 def test_first_copy_of_equal_rows(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, long, 1), (1, long, 2), (1, long, 3), (None, long, 4), (2, "short", 5), (2, "short", 6)]
